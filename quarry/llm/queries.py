@@ -1,9 +1,10 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quarry.llm import topk
+from quarry.llm import media, topk
 
 QUERIES = {
     "op10_exact_topk": topk.op10_topk,
+    "op6_media": media.op6_media,
 }
 ORACLES = {
     "op10_exact_topk": topk.OP10_SQL,
