@@ -1,10 +1,11 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quarry.llm import media, topk
+from quarry.llm import media, rans, topk
 
 QUERIES = {
     "op10_exact_topk": topk.op10_topk,
     "op6_media": media.op6_media,
+    "op7_rans": rans.op7_rans,
 }
 ORACLES = {
     "op10_exact_topk": topk.OP10_SQL,
