@@ -1,12 +1,13 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quarry.llm import media, packing, rans, topk
+from quarry.llm import langid, media, packing, rans, topk
 
 QUERIES = {
     "op10_exact_topk": topk.op10_topk,
     "op6_media": media.op6_media,
     "op7_rans": rans.op7_rans,
     "op9_min_bin_slack": packing.op9_packing,
+    "op3_langid": langid.op3_langid,
 }
 ORACLES = {
     "op10_exact_topk": topk.OP10_SQL,
