@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quarry.llm import langid, media, mixing, packing, rans, topk
+from quarry.llm import chat, langid, media, mixing, packing, rans, topk
 
 QUERIES = {
     "op10_exact_topk": topk.op10_topk,
@@ -9,6 +9,7 @@ QUERIES = {
     "op9_min_bin_slack": packing.op9_packing,
     "op3_langid": langid.op3_langid,
     "op4_mixing": mixing.op4_mixing,
+    "op8_chat": chat.op8_chat,
 }
 ORACLES = {
     "op10_exact_topk": topk.OP10_SQL,
