@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quarry.llm import chat, langid, media, mixing, packing, rans, topk
+from quarry.llm import chat, dedup, langid, media, mixing, packing, rans, topk
 
 QUERIES = {
     "op10_exact_topk": topk.op10_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_mixing": mixing.op4_mixing,
     "op8_chat": chat.op8_chat,
+    "op5_jaccard_join": dedup.op5_jaccard_join,
 }
 ORACLES = {
     "op10_exact_topk": topk.OP10_SQL,
