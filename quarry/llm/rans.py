@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import shared_dir, table, tasks
 
 MAGIC, LANES, CHECKPOINT = b"QRS1", 1024, 256
-SCALE, LOW = 20, np.uint64(1 << 31)
+LOW = np.uint64(1 << 31)
 BLOCK_IDS, SEGMENT_IDS = 1 << 18, 1 << 21
 HEAD, BLOCK_HEAD = struct.Struct("<4sBIIIq"), struct.Struct("<IIIII")
 END_ID = 2
@@ -41,7 +41,12 @@ class CorruptSegment(ValueError):
     """A magic, length or checksum isn't as written."""
 
 
-def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def scale_bits(symbols: int) -> int:
+    """Bits of the frequencies: two more than the symbols need, so that tables stay in a core's cache."""
+    return min(20, max(12, symbols.bit_length() + 2))
+
+
+def frequencies(counts: np.ndarray, scale: int) -> np.ndarray:
     """Positive counts scaled to a sum of 1 << scale, each at least 1.
 
     Rounds down, then gives what is left, or takes what is too much, from the largest.
@@ -66,7 +71,7 @@ def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
 class Table:
     """Symbols of a segment with frequency and start; slots to symbols for decoding."""
 
-    def __init__(self, symbols: np.ndarray, freq: np.ndarray, scale: int = SCALE):
+    def __init__(self, symbols: np.ndarray, freq: np.ndarray, scale: int):
         self.symbols, self.freq, self.scale = symbols, freq.astype(np.uint64), scale
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(freq) else self.freq
         self.slots: np.ndarray | None = None
@@ -129,10 +134,11 @@ def write_segment(documents: list[np.ndarray]) -> bytes:
     ids = np.concatenate(documents).astype("<u4") if documents else np.zeros(0, "<u4")
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     symbols = np.flatnonzero(counts).astype("<u4")
-    t = Table(symbols, frequencies(counts[symbols])) if len(ids) else Table(symbols, np.zeros(0))
+    scale = scale_bits(len(symbols))
+    t = Table(symbols, frequencies(counts[symbols], scale) if len(ids) else np.zeros(0), scale)
     place = np.zeros(len(counts), np.uint32)
     place[symbols] = np.arange(len(symbols))
-    out = [HEAD.pack(MAGIC, SCALE, len(documents), len(symbols), -(-len(ids) // BLOCK_IDS), len(ids)), lengths.tobytes(), symbols.tobytes(), t.freq.astype("<u4").tobytes()]
+    out = [HEAD.pack(MAGIC, scale, len(documents), len(symbols), -(-len(ids) // BLOCK_IDS), len(ids)), lengths.tobytes(), symbols.tobytes(), t.freq.astype("<u4").tobytes()]
     for first in range(0, len(ids), BLOCK_IDS):
         block = ids[first:first + BLOCK_IDS]
         marks, words = encode_block(place[block], t)
@@ -211,8 +217,8 @@ def write_ids(texts: DataFrame, path: str, encode_with, *, id_col: str = "doc_id
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, number, first, held, names, write_segment(documents)), FILES)], schema=FILES)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
                 for name, raw in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()])):
                     ids = np.append(np.frombuffer(raw, "<u2").astype(np.uint32), np.uint32(end_id))
                     names.append(name)

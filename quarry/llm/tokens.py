@@ -15,8 +15,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Entries of a word cache before it starts anew: it bounds a worker's memory.
-CACHE_WORDS = 250_000
+#: Entries of a worker's caches, about 250 MB in all. Full ones stay as they are, since
+#: frequent words come early, until so many batches have passed; then they start anew.
+CACHE_WORDS, CACHE_PIECES, BATCHES = 500_000, 800_000, 1000
 #: A text with a longer unbroken run of letters or of white space isn't cut into words here.
 LONG_RUN = 2000
 
@@ -28,6 +29,17 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Both(dict):
+    """Looks in a first mapping for what isn't in the second, its own."""
+
+    def __init__(self, first: dict, own: dict):
+        super().__init__(own)
+        self.first = first
+
+    def __missing__(self, key):
+        return self.first[key]
+
+
 class WordIds:
     """Ids of the lower-casing word tokenizer, as little-endian 16-bit bytes.
 
@@ -42,39 +54,59 @@ class WordIds:
     ODD = re.compile("[^\\t\\n\\r !-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-ɏ‐-‧€]|<\\|")
 
     def __init__(self, path: str):
-        self.library, self.words, self.pieces = _library(path), {}, {}
+        self.library, self.words, self.pieces, self.batches = _library(path), {}, {}, 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _ids_of_pieces(self, new: list[str]) -> dict[str, bytes]:
+        learned = {}
         for at in range(0, len(new), 2000):
             part = new[at:at + 2000]
             found = self.library.encode(" ".join(part), add_special_tokens=False)
             ids, owner = np.array(found.ids, "<u2"), np.array(found.word_ids, np.int64)
             if len(ids) and owner[-1] != len(part) - 1:
                 for p in part:
-                    self.pieces[p] = self._whole(p)
+                    learned[p] = self._whole(p)
                 continue
-            edges = np.searchsorted(owner, np.arange(len(part) + 1))
-            for k, p in enumerate(part):
-                self.pieces[p] = ids[edges[k]:edges[k + 1]].tobytes()
+            raw, edges = ids.tobytes(), (2 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
+            for p, lo, hi in zip(part, edges, edges[1:]):
+                learned[p] = raw[lo:hi]
+        return learned
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        easy = [not self.ODD.search(t) and (len(t) <= LONG_RUN or max(map(len, t.split()), default=0) <= LONG_RUN) for t in texts]
-        cut = [t.split() if e else [] for t, e in zip(texts, easy)]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        new = set().union(*map(set, cut)) - self.words.keys()
-        parts = {w: self.PIECES.findall(unicodedata.normalize("NFC", w).lower()) for w in new}
-        self._learn_pieces(list({p for ps in parts.values() for p in ps} - self.pieces.keys()))
+        self.batches += 1
+        if self.batches % BATCHES == 0:
+            self.words, self.pieces = {}, {}
+        words, out, open_texts, new = self.words, [], [], set()
+        for k, text in enumerate(texts):
+            if self.ODD.search(text) or (len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN):
+                out.append(self._whole(text))
+                continue
+            cut = text.split()
+            found = list(map(words.get, cut))
+            if None in found:
+                missing = [i for i, x in enumerate(found) if x is None]
+                new.update(map(cut.__getitem__, missing))
+                open_texts.append((k, cut, found, missing))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        findall, normal = self.PIECES.findall, unicodedata.normalize
+        parts = {w: findall((w if w.isascii() else normal("NFC", w)).lower()) for w in new}
         pieces = self.pieces
-        for w, ps in parts.items():
-            self.words[w] = b"".join([pieces[p] for p in ps])
-        words = self.words
-        return [b"".join([words[w] for w in ws]) if e else self._whole(t) for t, e, ws in zip(texts, easy, cut)]
+        learned = self._ids_of_pieces([p for p in {p for ps in parts.values() for p in ps} if p not in pieces])
+        of = pieces if not learned else _Both(pieces, learned)
+        fresh = {w: of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for w, ps in parts.items()}
+        if len(pieces) < CACHE_PIECES:
+            pieces.update(learned)
+        if len(words) < CACHE_WORDS:
+            words.update(fresh)
+        for k, cut, found, missing in open_texts:
+            for i in missing:
+                found[i] = fresh[cut[i]]
+            out[k] = b"".join(found)
+        return out
 
 
 class ByteIds:
