@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quarry.llm import chat, dedup, langid, media, mixing, packing, pii, rans, topk
+from quarry.llm import chat, dedup, html, langid, media, mixing, packing, pii, rans, topk
 
 QUERIES = {
     "op10_exact_topk": topk.op10_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op5_jaccard_join": dedup.op5_jaccard_join,
     "op2_pii": pii.op2_pii,
+    "op1_html": html.op1_html,
 }
 ORACLES = {
     "op10_exact_topk": topk.OP10_SQL,
