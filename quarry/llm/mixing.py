@@ -61,8 +61,8 @@ def apportioned(units: DataFrame, seats: str, group: list[str], order: list[str]
     n, total = F.count("*").over(w), F.sum(share).over(w)
     # divisors: total / (seats - n / 2) gives at most, total / (seats + n / 2) at least the right number of seats
     rows = units.withColumn("_n", n).withColumn("_total", total)
-    low = F.floor(F.col(share) / F.col("_total") * (F.col(seats) - F.col("_n") / 2.0) + 0.5 - 1e-9)
-    high = F.floor(F.col(share) / F.col("_total") * (F.col(seats) + F.col("_n") / 2.0) + 0.5 + 1e-9)
+    low = F.floor(F.try_divide(F.col(share), F.col("_total")) * (F.col(seats) - F.col("_n") / 2.0) + 0.5 - 1e-9)
+    high = F.floor(F.try_divide(F.col(share), F.col("_total")) * (F.col(seats) + F.col("_n") / 2.0) + 0.5 + 1e-9)
     low, high = F.greatest(F.lit(0), F.coalesce(low, F.lit(0))).cast("long"), F.greatest(F.lit(0), F.coalesce(high, F.lit(0))).cast("long")
     rows = rows.withColumn("_low", F.least(low, F.col(most))).withColumn("_high", F.least(high, F.col(most)))
     rows = rows.withColumn("_rest", F.col(seats) - F.sum("_low").over(w))
@@ -109,7 +109,7 @@ def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     turn = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 3)), n)
     times = lambda k: F.floor(F.col("quota") / n) + F.when(F.pmod(k * F.col("_stride") + F.col("_turn"), n) < F.pmod(F.col("quota"), n), 1).otherwise(0)
     laid = laid.withColumn("_stride", stride).withColumn("_turn", turn)
-    first, last = F.floor(F.col("_from") * n / words), F.least(n - 1, F.floor((F.col("_end") - 1) * n / words) + 1)
+    first, last = F.floor(F.try_divide(F.col("_from") * n, words)), F.least(n - 1, F.floor(F.try_divide((F.col("_end") - 1) * n, words)) + 1)
     over = lambda k: F.greatest(F.lit(0), F.least(F.col("_end"), edge(k + 1)) - F.greatest(F.col("_from"), edge(k)))
     taken = F.aggregate(F.sequence(F.greatest(F.lit(0), first - 1).cast("long"), last.cast("long")), F.lit(0).cast("long"), lambda acc, k: acc + (over(k) * times(k)).cast("long"))
     return laid.select("doc_id", "size", "source_size", "target", F.when((F.col("size") > 0) & (words > 0), taken).otherwise(F.lit(0)).cast("long").alias("taken"))
