@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tabular",)
+MODULES = ("tabular", "measures")
 
 
 def collect(kind: str) -> dict:
