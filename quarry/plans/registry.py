@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tabular", "measures")
+MODULES = ("tabular", "measures", "sequences")
 
 
 def collect(kind: str) -> dict:
