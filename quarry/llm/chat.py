@@ -94,9 +94,10 @@ def best_paths(messages: DataFrame, per_root: int = 1) -> DataFrame:
     jumps = [materialised(start.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "total", F.lit(1).cast("long").alias("steps"), F.col("node").alias("root")), "jumps-0")]
     while len(jumps) <= rounds and jumps[-1].filter(F.col("up").isNotNull()).limit(1).count():
         j = jumps[-1]
+        # only messages that haven't reached their root are joined again
         above = j.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"), F.col("root").alias("root2"))
-        more = j.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.coalesce("root2", "root").alias("root"))
-        jumps.append(materialised(more, f"jumps-{len(jumps)}"))
+        more = j.filter(F.col("up").isNotNull()).join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("root2").alias("root"))
+        jumps.append(materialised(j.filter(F.col("up").isNull()).unionByName(more), f"jumps-{len(jumps)}"))
     whole = jumps[-1].filter(F.col("up").isNull())
     leaves = whole.join(nodes.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.desc("total"), F.desc("steps"), "node"))
