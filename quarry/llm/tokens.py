@@ -18,7 +18,7 @@ import numpy as np
 #: Entries of a worker's caches, about 250 MB in all. Full ones stay as they are, since
 #: frequent words come early, until so many batches have passed; then they start anew.
 CACHE_WORDS, CACHE_PIECES, BATCHES = 500_000, 800_000, 1000
-#: A text with a longer unbroken run of letters or of white space isn't cut into words here.
+#: A longer unbroken run of letters or of white space goes through the tokenizers library.
 LONG_RUN = 2000
 
 
@@ -50,8 +50,9 @@ class WordIds:
 
     # How the tokenizer's file cuts a normalised text into pieces.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
-    #: Characters whose class, case and composition the two libraries share.
-    ODD = re.compile("[^\\t\\n\\r !-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-ɏ‐-‧€]|<\\|")
+    #: A word of other characters than these, whose class, case and composition the two
+    #: libraries share, goes through the tokenizers library.
+    ODD = re.compile("[^!-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-ɏ‐-‧€]")
 
     def __init__(self, path: str):
         self.library, self.words, self.pieces, self.batches = _library(path), {}, {}, 0
@@ -80,7 +81,8 @@ class WordIds:
             self.words, self.pieces = {}, {}
         words, out, open_texts, new = self.words, [], [], set()
         for k, text in enumerate(texts):
-            if self.ODD.search(text) or (len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN):
+            # special tokens may hold anything, and str.split takes these separators for white space
+            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 out.append(self._whole(text))
                 continue
             cut = text.split()
@@ -93,11 +95,13 @@ class WordIds:
             else:
                 out.append(b"".join(found))
         findall, normal = self.PIECES.findall, unicodedata.normalize
-        parts = {w: findall((w if w.isascii() else normal("NFC", w)).lower()) for w in new}
+        odd = {w for w in new if len(w) > LONG_RUN or self.ODD.search(w)}
+        parts = {w: findall((w if w.isascii() else normal("NFC", w)).lower()) for w in new - odd}
         pieces = self.pieces
         learned = self._ids_of_pieces([p for p in {p for ps in parts.values() for p in ps} if p not in pieces])
         of = pieces if not learned else _Both(pieces, learned)
         fresh = {w: of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for w, ps in parts.items()}
+        fresh.update((w, self._whole(w)) for w in odd)
         if len(pieces) < CACHE_PIECES:
             pieces.update(learned)
         if len(words) < CACHE_WORDS:
