@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = Window.partitionBy(F.lit(1))
+def _all():
+    """A window over all rows, of tables with a row a class."""
+    return Window.partitionBy(F.lit(1))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -29,7 +31,7 @@ def confusion_matrix(df: DataFrame, y: str, p: str, normalize: str | None = None
     full = grid.join(counts, ["label", "predicted"], "left").select("label", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
     if normalize is None:
         return full
-    w = {"true": Window.partitionBy("label"), "pred": Window.partitionBy("predicted"), "all": ONE}[normalize]
+    w = {"true": Window.partitionBy("label"), "pred": Window.partitionBy("predicted"), "all": _all()}[normalize]
     return full.withColumn("n", _ratio(F.col("n"), F.sum("n").over(w)))
 
 
@@ -39,7 +41,7 @@ def class_scores(df: DataFrame, y: str, p: str, beta: float = 1.0) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.col("y").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("q")), F.struct(F.col("p").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("q"))))
     per = counts.select(sides.alias("s"), "n", (F.col("y") == F.col("p")).alias("hit")).groupBy("s.label").agg(
         F.sum(F.col("n") * F.col("s.t")).alias("support"), F.sum(F.col("n") * F.col("s.q")).alias("found"), F.sum(F.when(F.col("hit"), F.col("n") * F.col("s.t")).otherwise(0)).alias("tp"))
-    per = per.withColumn("all", F.sum("support").over(ONE))
+    per = per.withColumn("all", F.sum("support").over(_all()))
     precision, recall = _ratio(F.col("tp"), F.col("found")), _ratio(F.col("tp"), F.col("support"))
     b = beta * beta
     negatives = F.col("all") - F.col("support")

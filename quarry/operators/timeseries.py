@@ -109,9 +109,9 @@ def aligned(df: DataFrame, channel: str, t: str, value: str, rate: float, max_ga
     rows = df.select(channel, F.col(t).alias("t"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("s")).unionByName(grid.select(channel, "t", F.lit(None).cast("struct<t:double,v:double>").alias("s")))
     before = F.last("s", ignorenulls=True).over(Window.partitionBy(channel).orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
     after = F.first("s", ignorenulls=True).over(Window.partitionBy(channel).orderBy("t").rangeBetween(0, Window.unboundedFollowing))
-    near = rows.withColumn("b", before).withColumn("c", after).filter(F.col("s").isNull())
-    gap = F.col("c.t") - F.col("b.t")
-    between = F.when(gap == 0, F.col("b.v")).otherwise(F.col("b.v") + (F.col("c.v") - F.col("b.v")) * F.try_divide(F.col("t") - F.col("b.t"), gap))
+    near = rows.withColumn("_b", before).withColumn("_c", after).filter(F.col("s").isNull())
+    gap = F.col("_c.t") - F.col("_b.t")
+    between = F.when(gap == 0, F.col("_b.v")).otherwise(F.col("_b.v") + (F.col("_c.v") - F.col("_b.v")) * F.try_divide(F.col("t") - F.col("_b.t"), gap))
     return near.select(channel, "t", F.when(gap <= max_gap, between).alias("value"))
 
 
