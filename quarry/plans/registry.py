@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tabular", "measures", "sequences", "features", "signals")
+MODULES = ("tabular", "measures", "sequences", "features", "signals", "models")
 
 
 def collect(kind: str) -> dict:
