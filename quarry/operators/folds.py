@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.state import checkpointed
+
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "_row") -> DataFrame:
     """Adds the number of each row, from 0, in a total order.
 
     A range partitioning sorts the rows in parallel; numbers within partitions and one
-    count a partition make the number, so that no task sees all rows.
+    count a partition make the number, so that no task sees all rows. The partitioning
+    is checkpointed: a second run could sample other ranges, and numbers would clash.
     """
     exprs = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = df.select("*", *(e.alias(f"_o{k}") for k, e in enumerate(exprs)))
     names = [f"_o{k}" for k in range(len(exprs))]
-    ranged = keys.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*names)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(keys.repartitionByRange(parts, *names).withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*names)))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")

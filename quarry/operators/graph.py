@@ -11,17 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: checkpointed in the session's folder, or a temporary one in local mode."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint()
+from quarry.functions.state import checkpointed
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,14 +20,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round a node takes the least label around it, then that label's own label, so
     that distances halve.
     """
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
+    both = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels = _cut(nodes.withColumn("component", F.col("node")))
+    labels = checkpointed(nodes.withColumn("component", F.col("node")))
     while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("c"))
         step = labels.join(near, "node", "left").select("node", F.least("component", "c").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = _cut(step.join(jump, "component").select("node", F.least("component", "up").alias("component")))
+        new = checkpointed(step.join(jump, "component").select("node", F.least("component", "up").alias("component")))
         changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
         labels = new
         if not changed:
@@ -47,15 +37,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, starts: Sequence, max_depth: int | None = None) -> DataFrame:
     """node, distance in edges from the nearest start; unreached nodes have no row."""
     spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    seen = _cut(spark.createDataFrame([(s,) for s in starts], "node string" if kind.simpleString() == "string" else f"node {kind.simpleString()}").distinct().withColumn("distance", F.lit(0)))
+    seen = checkpointed(spark.createDataFrame([(s,) for s in starts], "node string" if kind.simpleString() == "string" else f"node {kind.simpleString()}").distinct().withColumn("distance", F.lit(0)))
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(depth))
-        frontier = _cut(found)
+        frontier = checkpointed(found)
         if not frontier.limit(1).count():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = checkpointed(seen.unionByName(frontier))
     return seen
 
 
@@ -64,27 +54,27 @@ def shortest_paths(edges: DataFrame, start) -> DataFrame:
     if edges.filter("weight < 0").limit(1).count():
         raise ValueError("weights must not be negative")
     spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
-    known = _cut(spark.createDataFrame([(start, 0.0)], f"node {kind}, distance double"))
+    known = checkpointed(spark.createDataFrame([(start, 0.0)], f"node {kind}, distance double"))
     frontier = known
     while True:
         offers = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
-        frontier = _cut(offers.join(known, "node", "left").filter(F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).select("node", F.col("offer").alias("distance")))
+        frontier = checkpointed(offers.join(known, "node", "left").filter(F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).select("node", F.col("offer").alias("distance")))
         if not frontier.limit(1).count():
             return known
-        known = _cut(known.join(frontier, "node", "left_anti").unionByName(frontier))
+        known = checkpointed(known.join(frontier, "node", "left_anti").unionByName(frontier))
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
     """node, level: the longest path into a node; a cycle is an error."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    left, rest, level, out = _cut(edges.select("src", "dst").distinct()), _cut(nodes), 0, None
+    left, rest, level, out = checkpointed(edges.select("src", "dst").distinct()), checkpointed(nodes), 0, None
     while rest.limit(1).count():
-        free = _cut(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+        free = checkpointed(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
         if not free.limit(1).count():
             raise ValueError("the graph has a cycle")
         out = free if out is None else out.unionByName(free)
-        rest = _cut(rest.join(free, "node", "left_anti"))
-        left = _cut(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+        rest = checkpointed(rest.join(free, "node", "left_anti"))
+        left = checkpointed(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
         level += 1
     return out if out is not None else nodes.withColumn("level", F.lit(0))
 
@@ -139,7 +129,7 @@ def match(triples: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame
 
 def infer(triples: DataFrame, rules: list[tuple[list[tuple[str, str, str]], tuple[str, str, str]]], max_rounds: int = 100) -> DataFrame:
     """s, p, o, derived: the facts and all that follow by the rules (premises, conclusion), to the fixpoint."""
-    facts = _cut(triples.select("s", "p", "o").distinct().withColumn("derived", F.lit(False)))
+    facts = checkpointed(triples.select("s", "p", "o").distinct().withColumn("derived", F.lit(False)))
     for _ in range(max_rounds):
         new = None
         for premises, conclusion in rules:
@@ -148,8 +138,8 @@ def infer(triples: DataFrame, rules: list[tuple[list[tuple[str, str, str]], tupl
             new = one if new is None else new.unionByName(one)
         if new is None:
             break
-        fresh = _cut(new.distinct().join(facts, ["s", "p", "o"], "left_anti").withColumn("derived", F.lit(True)))
+        fresh = checkpointed(new.distinct().join(facts, ["s", "p", "o"], "left_anti").withColumn("derived", F.lit(True)))
         if not fresh.limit(1).count():
             break
-        facts = _cut(facts.unionByName(fresh))
+        facts = checkpointed(facts.unionByName(fresh))
     return facts
