@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tabular", "measures", "sequences", "features", "signals", "models")
+MODULES = ("tabular", "measures", "sequences", "features", "signals", "models", "clusterings")
 
 
 def collect(kind: str) -> dict:
