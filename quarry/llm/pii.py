@@ -1,11 +1,11 @@
 """Personal data: base patterns, and identifiers found by bootstrapped context, in
 DataFrame operations only.
 
-Base spans come from fixed patterns. They seed a bootstrap: the words left and right of
-a seed are lexical patterns, tokens with a digit or an at sign are instances. Spark
-scores the graph of patterns and instances in rounds: a pattern by how much of all its
-occurrences in the corpus are known instances, an instance by the patterns it stands
-in. Instances of patterns with a high score are added as spans of the kind ctx.
+Base spans come from fixed patterns. They seed a bootstrap: one to three tokens (words or
+runs of punctuation) left or right of a seed are lexical patterns, tokens with a digit
+or an at sign are instances. Spark scores the graph of patterns and instances in rounds:
+a pattern by how many of the candidates (seeds and instances) beside it are known, an
+instance by the patterns it stands in. Instances of patterns with a high score are added as spans of the kind ctx.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ HINTS = {"email": "@", "phone": "+"}
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 #: A pattern counts from so many distinct seeds on, and adds instances from this score on.
 LEAST_SEEDS, CONFIDENT, ROUNDS = 5, 0.5, 3
-#: Context: characters looked at on each side of a span, for the nearest word.
-REACH = 64
+#: Context: characters looked at on each side of a span, and tokens of the longest pattern.
+REACH, NEAR = 64, 3
+#: A token of a context: a word or a run of punctuation. Blanks, quotes and brackets between them are skipped.
+SKIPPED = r"\s\"'`\u00B4\u00AB\u00BB\u2018-\u201F\u2039\u203A()\[\]{}<>"
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+CONTEXT = rf"{WORD}|[^\p{{L}}\p{{M}}\p{{N}}_{SKIPPED}]+"
 
 
 def _pieces(text: Column, pattern: str, kind: str) -> Column:
@@ -97,11 +101,20 @@ def tokens(text: Column) -> Column:
 
 
 def _around(text: Column, span: Column) -> Column:
-    """span with the lower-case words to its left and right; digits in them as 0."""
+    """span with the sequences of one to NEAR lower-case tokens that end to its left and
+    begin to its right; digits in them as 0."""
     before = F.substring(text, F.greatest(F.lit(1), span["start"] - REACH + 1), F.least(F.lit(REACH), span["start"]))
     after = F.substring(text, span["end"] + 1, F.lit(REACH))
-    word = lambda x, p: F.regexp_replace(F.lower(F.regexp_extract(x, p, 1)), "[0-9]", "0")
-    return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.xxhash64(F.lower(span["value"])).alias("instance"), word(before, r"(\S+)\s*$").alias("left"), word(after, r"^\S*\s+(\S+)").alias("right"))
+    found = lambda x: F.regexp_extract_all(F.regexp_replace(F.lower(x), "[0-9]", "0"), F.lit(CONTEXT), F.lit(0))
+    every = lambda near, part: F.filter(F.transform(F.array(*(F.lit(n) for n in range(1, NEAR + 1))), lambda n: F.when(F.size(near) >= n, F.array_join(part(near, n), " "))), lambda w: w.isNotNull())
+    left, right = every(found(before), lambda w, n: F.slice(w, -n, n)), every(found(after), lambda w, n: F.slice(w, 1, n))
+    return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.xxhash64(F.lower(span["value"])).alias("instance"), left.alias("left"), right.alias("right"))
+
+
+def _sides(span: str) -> Column:
+    """side, word: a span's patterns, exploded."""
+    side = lambda k, c: F.transform(F.col(f"{span}.{c}"), lambda w: F.struct(F.lit(k).alias("side"), w.alias("word")))
+    return F.explode(F.concat(side("L", "left"), side("R", "right")))
 
 
 def spans_table(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,34 +128,32 @@ def spans_table(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _edges(spans: DataFrame, column: str) -> DataFrame:
-    """side, word, instance, n: how often an instance stands next to a word."""
-    rows = spans.select(F.explode(column).alias("s")).select("s.instance", F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("s.left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("s.right").alias("word")))).alias("p"))
-    return rows.select("p.side", "p.word", "instance").filter("word <> ''").groupBy("side", "word", "instance").agg(F.count("*").alias("n"))
+    """side, word, instance, n: how often an instance stands next to a pattern."""
+    rows = spans.select(F.explode(column).alias("s")).select("s.instance", _sides("s").alias("p"))
+    return rows.select("p.side", "p.word", "instance").groupBy("side", "word", "instance").agg(F.count("*").alias("n"))
 
 
-def patterns(documents: DataFrame, spans: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
+def patterns(spans: DataFrame, *, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
     """side, word, score of the confident patterns, after the last round.
 
-    A pattern's score is the known share of its occurrences, each instance weighed by
-    its own score, over how often the word occurs at all; one with fewer distinct
-    known instances than least_seeds has none. An instance's score is 1 for a seed, else
+    A pattern's score is the known share of the candidates beside it, seeds and free
+    tokens, each instance weighed by its own score; one with fewer distinct known
+    instances than least_seeds has none. An instance's score is 1 for a seed, else
     the best of its patterns'.
     """
     seeds, free = _edges(spans, "seeds"), _edges(spans, "free")
-    # only words that stand beside enough seeds can become patterns in the first round, and patterns of later rounds need the same support
+    # a pattern needs least_seeds known instances in every round, so those with fewer instances of any sort can go
     edges = seeds.withColumn("seed", F.lit(1.0)).unionByName(free.withColumn("seed", F.lit(0.0)))
     edges = materialised(edges.groupBy("side", "word", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "edges")
     supported = edges.groupBy("side", "word").agg(F.count("*").alias("k")).filter(F.col("k") >= least_seeds)
-    word = F.regexp_replace(F.lower(F.col("w")), "[0-9]", "0")
-    uses = documents.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("uses")).groupBy(word.alias("word")).agg(F.sum("uses").alias("uses"))
-    live = materialised(edges.join(supported.drop("k"), ["side", "word"]).join(uses, "word"), "live-edges")
+    live = materialised(edges.join(supported.drop("k"), ["side", "word"]), "live-edges")
     scored = live.select("instance", F.col("seed").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
     found = None
     for k in range(rounds):
         known = live.join(scored, "instance")
         found = known.groupBy("side", "word").agg(
-            (F.sum(F.col("n") * F.col("score")) / F.max(F.greatest("uses", "n"))).alias("score"), F.count_if(F.col("score") > confident).alias("k"))
-        found = materialised(found.filter((F.col("k") >= least_seeds) & (F.col("score") >= confident)).select("side", "word", F.least("score", F.lit(1.0)).alias("score")), f"patterns-{k}")
+            (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("score"), F.count_if(F.col("score") > confident).alias("k"))
+        found = materialised(found.filter((F.col("k") >= least_seeds) & (F.col("score") >= confident)).select("side", "word", "score"), f"patterns-{k}")
         if k + 1 < rounds:
             best = live.join(found.withColumnRenamed("score", "by"), ["side", "word"], "left")
             scored = materialised(best.groupBy("instance").agg(F.greatest(F.max("seed"), F.coalesce(F.max("by"), F.lit(0.0))).alias("score")), f"instances-{k}")
@@ -156,9 +167,9 @@ def personal_data(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     without any seed has no patterns and no added spans.
     """
     spans = spans_table(documents, id_col=id_col, text_col=text_col)
-    good = patterns(documents, spans, text_col=text_col)
+    good = patterns(spans)
     each = spans.groupBy("key").agg(F.first("free").alias("free")).select("key", F.explode("free").alias("s"))
-    sides = each.select("key", "s.start", "s.end", F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("s.left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("s.right").alias("word")))).alias("p")).select("key", "start", "end", "p.*")
+    sides = each.select("key", "s.start", "s.end", _sides("s").alias("p")).select("key", "start", "end", "p.*")
     hits = sides.join(good.select("side", "word"), ["side", "word"]).select("key", "start", "end").distinct()
     return spans, hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.lit(ADDED).alias("kind"), "start", "end"))).alias("added"))
 

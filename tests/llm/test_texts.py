@@ -74,6 +74,13 @@ def test_context_finds_unseen_identifiers_and_leaves_others(spark):
     assert masked[3] == "name n0 badge: <ctx> thanks badge: <email> ok" and masked[45] == rows[45][1] and masked[60] is None
 
 
+def test_context_patterns_of_several_tokens_behind_a_quote(spark):
+    rows = [(i, f'say key = "u{i}@x.org" here and there') for i in range(12)] + [(20 + i, f'then key = "ab{i}97731fe" went') for i in range(6)] + [(40 + i, f"let x = 5123456{i:02} end") for i in range(30)]
+    got = {x.doc_id: x.spans for x in pii.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # one token (=) is known in 12 of 48 candidates, two (key =) in 12 of 18
+    assert all(got[20 + i] == f"ctx:12:{12 + len(f'ab{i}97731fe')}" for i in range(6)) and not any(got[40 + i] for i in range(30))
+
+
 def test_mix_reaches_targets(spark):
     def brute(rows):
         size = {}
