@@ -30,8 +30,8 @@ HINTS = {"email": "@", "phone": "+"}
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 #: A pattern counts from so many distinct seeds on, and adds instances from this score on.
 LEAST_SEEDS, CONFIDENT, ROUNDS = 5, 0.5, 3
-#: Context: characters looked at on each side of a span, and tokens of the longest pattern.
-REACH, NEAR = 64, 3
+#: Context: tokens of the longest pattern, and characters looked at first on each side of a span; where they don't hold the tokens, the whole side is.
+NEAR, REACH = 3, 64
 #: A token of a context: a word or a run of punctuation. Blanks, quotes and brackets between them are skipped.
 SKIPPED = r"\s\"'`\u00B4\u00AB\u00BB\u2018-\u201F\u2039\u203A()\[\]{}<>"
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -56,7 +56,7 @@ def _pieces(text: Column, pattern: str, kind: str) -> Column:
 
     pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
     spans = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    some = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else text.rlike("[0-9]")
+    some = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else text.rlike("[0-9@]" if kind == ADDED else "[0-9]")
     return F.when(some & (F.size(found) > 0), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
 
 
@@ -97,17 +97,20 @@ def tokens(text: Column) -> Column:
         return F.struct(F.lit(ADDED).alias("kind"), start.alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
 
     spans = F.transform(F.when(t.rlike("[0-9@]"), _pieces(t, TOKEN, ADDED)), bare)
-    return F.coalesce(F.filter(spans, lambda s: F.length(s["value"]).between(5, 64) & (F.length(F.regexp_replace(s["value"], "[^0-9@]", "")) >= 4)), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+    return F.coalesce(F.filter(spans, lambda s: s["value"].rlike("[0-9@]")), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
 
 
 def _around(text: Column, span: Column) -> Column:
     """span with the sequences of one to NEAR lower-case tokens that end to its left and
     begin to its right; digits in them as 0."""
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - REACH + 1), F.least(F.lit(REACH), span["start"]))
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
+    start, end, n = span["start"], span["end"], F.length(text)
     found = lambda x: F.regexp_extract_all(F.regexp_replace(F.lower(x), "[0-9]", "0"), F.lit(CONTEXT), F.lit(0))
+    # one token more than needed: the window may cut the one at its edge
+    enough = lambda window, whole, short: F.when(short | (F.size(found(window)) > NEAR), found(window)).otherwise(found(whole))
+    before = enough(F.substring(text, F.greatest(F.lit(1), start - REACH + 1), F.least(F.lit(REACH), start)), F.substring(text, F.lit(1), start), start <= REACH)
+    after = enough(F.substring(text, end + 1, F.lit(REACH)), F.substring(text, end + 1, n - end), n - end <= REACH)
     every = lambda near, part: F.filter(F.transform(F.array(*(F.lit(n) for n in range(1, NEAR + 1))), lambda n: F.when(F.size(near) >= n, F.array_join(part(near, n), " "))), lambda w: w.isNotNull())
-    left, right = every(found(before), lambda w, n: F.slice(w, -n, n)), every(found(after), lambda w, n: F.slice(w, 1, n))
+    left, right = every(before, lambda w, n: F.slice(w, -n, n)), every(after, lambda w, n: F.slice(w, 1, n))
     return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.xxhash64(F.lower(span["value"])).alias("instance"), left.alias("left"), right.alias("right"))
 
 

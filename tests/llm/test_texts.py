@@ -81,6 +81,17 @@ def test_context_patterns_of_several_tokens_behind_a_quote(spark):
     assert all(got[20 + i] == f"ctx:12:{12 + len(f'ab{i}97731fe')}" for i in range(6)) and not any(got[40 + i] for i in range(30))
 
 
+def test_identifiers_of_any_length_and_far_contexts(spark):
+    values = ["user@localhost", "@handle", "AB-123", "7", "s1" + "gn" * 200]
+    rows = [(i, f"the badge is u{i}@x.org ok") for i in range(12)] + [(20 + i, f"the badge is{' ' * 90}{v} ok") for i, v in enumerate(values)]
+    rows += [(30 + i, f"{'y' * 100} 9{i}x z") for i in range(5)]
+    got = {x.doc_id: x.spans for x in pii.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[20 + i] for i in range(5)] == [f"ctx:102:{102 + len(v)}" for v in values] and not any(got[30 + i] for i in range(5))
+    text = F.lit("y" * 100 + " 12345 " + "z" * 100)
+    near = spark.range(1).select(pii._around(text, pii.tokens(text)[0]).alias("s")).first().s
+    assert (near.left, near.right) == (["y" * 100], ["z" * 100])
+
+
 def test_mix_reaches_targets(spark):
     def brute(rows):
         size = {}
