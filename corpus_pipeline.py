@@ -3,11 +3,11 @@ sequences. Each stage takes what the one before kept, as written Parquet."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import dedup, langid, mixing, packing, pii
-from quarry.llm.common import materialised, table, text_key
+from quarry.llm.common import materialised, table, tasks, text_key
 
 #: A document stays if its language is known with at least this probability.
 LEAST_SCORE = 0.5
@@ -39,15 +39,39 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redacted(docs)
 
 
+#: Parts of a copy that running sums count in whole numbers.
+UNIT = 1 << 32
+
+
+def rounded(plan: DataFrame) -> DataFrame:
+    """_key, _copies from _key, source, size, taken: systematic rounding of taken / size.
+
+    In the order of size, the longest first, the rounded running sums of the fractions stay within half a
+    copy of the exact ones, so a source's words differ by half its longest document at
+    most. Running sums come from a range partitioning, local sums and one sum a part.
+    """
+    spark = plan.sparkSession
+    part = F.expr(f"(taken % size) * {UNIT} div size")
+    rows = plan.select("_key", "source", (-F.col("size")).alias("_less"), F.expr("taken div size").alias("_whole"), part.alias("_part"), F.xxhash64("_key", F.lit("copies")).alias("_draw"))
+    order = ["_less", "_draw", "_key"]
+    rows = materialised(rows.repartitionByRange(tasks(spark), "source", *order).withColumn("_task", F.spark_partition_id()), "fractions")
+    sums = rows.groupBy("source", "_task").agg(F.sum("_part").alias("_sum"))
+    before = sums.select(F.col("source").alias("_source"), "_task", (F.sum("_sum").over(Window.partitionBy("source").orderBy("_task")) - F.col("_sum")).alias("_before"))
+    local = rows.withColumn("_to", F.sum("_part").over(Window.partitionBy("_task", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    both = local.alias("l").join(before.alias("b"), (F.col("l._task") == F.col("b._task")) & F.col("source").eqNullSafe(F.col("_source")))
+    count = lambda x: F.floor((x + UNIT // 2) / F.lit(float(UNIT)))
+    to = F.col("_before") + F.col("_to")
+    return both.select("_key", (F.col("_whole") + count(to) - count(to - F.col("_part"))).cast("int").alias("_copies"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: taken / size, rounded by a
-    seeded draw, so that a source's expected words are those taken. Up to three times."""
+    """Each document as often as the mix takes its words: taken / size, by running sums of
+    it within a source in a seeded order, so that a source's words end within half
+    its longest document of those taken. Up to three times."""
     # ids may repeat with different texts; the stage before left no row twice
     keyed = docs.withColumn("_key", F.concat_ws(":", "doc_id", text_key("text")))
     plan = mixing.mix(keyed, id_col="_key").withColumnRenamed("doc_id", "_key").filter(F.col("size") > 0)
-    part = F.col("taken") / F.col("size")
-    draw = F.pmod(F.xxhash64("_key", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = plan.select("_key", (F.floor(part) + (draw < part - F.floor(part)).cast("long")).cast("int").alias("_copies")).filter(F.col("_copies") > 0)
+    copies = rounded(plan.join(keyed.select("_key", "source"), "_key")).filter(F.col("_copies") > 0)
     return keyed.join(copies, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 

@@ -228,6 +228,19 @@ def test_held_out_languages(spark, data):
     assert sum(x["lang"] == x.lang_pred for x in rows) >= 0.97 * len(rows)
 
 
+def test_mixed_documents_keep_each_source_near_its_target(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.randrange(99)}" for _ in range(r.randint(1, 12))), "en", r.choice(["a", "b", "c", None]), 1) for i in range(1200)]
+    docs = spark.createDataFrame([*rows, (None, "one two three", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    size, target = F.size(F.split("text", " ")), {}
+    for x in mixing.mix(docs.withColumn("_key", F.md5(F.concat_ws(":", "doc_id", "text"))).withColumn("doc_id", F.col("_key"))).join(docs.groupBy("source").agg(F.sum(size).alias("source_size")), "source_size").select("source", "target").distinct().collect():
+        target[x.source] = x.target
+    got = {x.source: x.n for x in cp.mixed(spark, docs, "").groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert len(target) == 4 and all(abs(got[s] - target[s]) <= 12 for s in target)
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as cp
     from quarry.llm.common import materialised
