@@ -26,12 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the least id. Rows that repeat it go too."""
+    """One document of each class: the one with the least id, a null id last, and the
+    least text key. Rows that repeat it go too."""
     found = dedup.near_duplicates(docs)
-    least = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id", F.col("text_key").alias("_key")).distinct()
-    # different texts under one id: only the class's own; the same text under one id: once
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    least = found.groupBy("class_key").agg(first.alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_least"))
     rows = docs.withColumn("_key", text_key("text"))
-    return rows.join(least, ["doc_id", "_key"]).dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return rows.join(least, (F.col("_key") == F.col("_least")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,12 +197,14 @@ def _verify(words: int, threshold: float):
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, text_key, copy_id, class_id, n_links: one row for each row of documents.
+    """doc_id, text_key, copy_id, class_id, class_key, n_links: one row for each row of documents.
 
     Two texts are linked if their sets of word n-grams have a Jaccard similarity of
     the threshold or more; equal texts are linked too. n_links counts the other rows
     that a row is linked to, class_id is the least id of the texts that links connect,
-    copy_id the least id of equal texts. Null and empty texts and ones without words
+    copy_id the least id of equal texts; class_key names a class by its texts. Rows with
+    null ids take part like others: ids are null where all ids of a class or of equal
+    texts are. Null and empty texts and ones without words
     have no n-grams: each row is its own class without links. Texts shorter than an
     n-gram are one n-gram. Repeated rows are copies of each other. Other columns
     aren't read; an empty table gives an empty one.
@@ -227,8 +229,9 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     groups = materialised(connected(candidates), "groups")
     # sizes of groups, in texts; large groups are dealt in blocks by a hash of the text
     member = groups.join(classes.select(F.col("key").alias("node"), "copy_id", "copies"), "node")
-    texts = base.select(F.col("doc_id").alias("copy_id"), F.col("key").alias("node"), "text")
-    held = texts.join(member, ["copy_id", "node"]).dropDuplicates(["node"])
+    texts = base.select(F.col("doc_id").alias("_id"), F.col("key").alias("_node"), "text")
+    # a text whose rows all have null ids has a null copy_id
+    held = texts.join(member, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("copy_id"))).dropDuplicates(["node"])
     held = materialised(held.select(F.col("node").alias("key"), "root", "copies", "text"), "candidates")
     blocks = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
     dealt = held.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -240,10 +243,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     links = found.filter(F.col("u") == F.col("v")).groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
     named = classes.select("key", "copy_id", "copies").join(components.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "root").select("key", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = named.join(least, "root").select("key", "copy_id", "class_id", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = signed.select("doc_id", "key", F.col("bands").isNotNull().alias("some")).join(named, "key", "left")
     own = lambda c: F.when(F.col("some"), F.col(c)).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("key").alias("text_key"), own("copy_id").alias("copy_id"), own("class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("key").alias("text_key"), own("copy_id").alias("copy_id"), own("class_id").alias("class_id"), F.when(F.col("some"), F.col("root")).otherwise(F.concat_ws(":", "key", "doc_id")).alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

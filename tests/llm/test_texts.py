@@ -164,6 +164,20 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_ids_keep_their_texts_links_and_classes(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    # a's near copy has only null ids, b's class has no id at all, c is alone
+    rows = [(7, a), (None, a + " end"), (None, a + " end"), (9, a + " last"), (None, b), (None, b + " end"), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dedup.near_duplicates(docs).join(docs.select(F.md5("text").alias("text_key"), "text").distinct(), "text_key").collect()
+    got = sorted((x.text[0], x.doc_id or 0, x.class_id or 0, x.n_links) for x in found)
+    assert got == [("a", 0, 7, 3), ("a", 0, 7, 3), ("a", 7, 7, 3), ("a", 9, 7, 3), ("b", 0, 0, 1), ("b", 0, 0, 1), ("c", 0, 0, 0)]
+    kept = sorted((x.text[0], x.doc_id or 0) for x in cp.near_duplicates(spark, docs, "").collect())
+    assert kept == [("a", 7), ("b", 0), ("c", 0)]
+
+
 def test_banding_reaches_its_recall():
     bands, rows = dedup.banding()
     assert 1 - (1 - dedup.THRESHOLD**rows) ** bands >= dedup.RECALL
