@@ -39,7 +39,7 @@ QUERIES = {
     "tfidf": q(lambda x: text.tfidf(x, "doc_id", "text"), _docs),
     "ngram_lm_counts": q(lambda x: text.language_model(x, "text", 2, 1.0).filter("count >= 5"), lambda s, d: table(s, d, "conversations")),
     "cooccurrence": q(lambda x: text.cooccurrence(x, "doc_id", "text", 2).filter("n >= 30"), _docs),
-    "encode_padded": q(lambda x: text.encoded(x, "doc_id", "text", text.vocabulary(x, "text", 50), 8).select("doc_id", F.array_join("ids", " ").alias("ids")), _docs),
+    "encode_padded": q(lambda x: text.encoded(x, "doc_id", "text", text.vocabulary(x, "text")).select("doc_id", F.array_join("ids", " ").alias("ids")), _docs),
     "hashed_terms": q(lambda x: text.hashed_terms(x, "doc_id", "text", 1 << 12).groupBy("doc_id").agg(F.sum("tf").alias("n")), _docs),
 }
 

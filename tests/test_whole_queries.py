@@ -24,3 +24,26 @@ def test_shortest_paths_run_on_all_line_items(spark, data, oracle):
                 heapq.heappush(heap, (x + w, b))
     got = {r.node: r.distance for r in QUERIES["shortest_paths"](spark, data).collect()}
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-6 for n in want)
+
+
+def test_whole_texts_are_encoded(spark, data):
+    from quarry.operators import text
+
+    words = {r.doc_id: r.w or [] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", text.tokens(F.col("text")).alias("w")).collect()}
+    got = {r.doc_id: r.ids.split() for r in QUERIES["encode_padded"](spark, data).collect()}
+    assert got.keys() == words.keys()
+    term = {}
+    for i, ids in got.items():
+        assert len(ids) == len(words[i]) and all(int(x) > 1 for x in ids)
+        assert all(term.setdefault(x, w) == w for x, w in zip(ids, words[i]))
+    assert len(term) == len({w for ws in words.values() for w in ws})
+
+
+def test_topics_give_weights_from_all_words(spark, data):
+    got = QUERIES["topics"](spark, data).collect()
+    assert all(len(r.weights) == 4 and abs(sum(r.weights) - 1) < 1e-5 for r in got)
+    rare = " ".join(f"rare{k}" for k in range(300))
+    from quarry.operators import ensembles
+
+    docs = spark.createDataFrame([(1, "a b " * 9), (2, rare), (3, "")], "doc_id long, text string")
+    assert len({tuple(round(x, 3) for x in r.weights) for r in ensembles.topics(docs, "doc_id", "text", 2, None, 2).filter("id <> 3").collect()}) == 2
