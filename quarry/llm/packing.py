@@ -95,16 +95,16 @@ PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, s
 def cut_pieces(texts: DataFrame, encode_with, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents, with the rank of each in its task among those of its length.
 
-    encode_with makes, in a worker, a function from a text to its ids (uint32). A null
-    text is an empty one: its only id is the end id.
+    encode_with makes, in a worker, a function from texts to their ids as little-endian
+    32-bit bytes. A null text is an empty one: its only id is the end id.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, shard, ranks = encode_with(), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for part in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
             rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(ids_of(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for name, raw in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()])):
+                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
                 for piece, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                     rank = ranks.setdefault(length, count())
                     rows.append((name, piece, start, length, zlib.crc32(ids[start:start + length].tobytes()), shard, next(rank)))
@@ -144,17 +144,16 @@ def packed_documents(texts: DataFrame, tokenizer: str | None = None, capacity: i
     """Tokenize, cut and pack a table of doc_id and text; tokenizer: the file's path,
     the same on every machine. Further columns are ignored, repeated rows are packed
     each, and an empty table gives an empty one."""
-    spark, ranks, pattern = texts.sparkSession, None, None
+    spark = texts.sparkSession
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-        ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
     def encoder():
-        from quarry.llm.tokens import byte_ids
+        from quarry.llm.tokens import chunk_ids
 
-        return byte_ids(tokenizer, ranks, pattern)
+        return chunk_ids(tokenizer)
 
     path = shared_dir(spark, "pieces")
     cut_pieces(texts, encoder, capacity=capacity).write.parquet(path)

@@ -267,9 +267,9 @@ def op7_rans(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
 
     def encoder():
-        from quarry.llm.tokens import word_ids
+        from quarry.llm.tokens import chunk_ids
 
-        return word_ids(tokenizer)
+        return chunk_ids(tokenizer, "<u2")
 
     write_ids(table(spark, sf_dir, "documents"), path, encoder)
     return read_ids(spark, path)

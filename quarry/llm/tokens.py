@@ -1,150 +1,83 @@
-"""Token ids of texts as the public tokenizers give them, faster where that is safe.
-
-Both helpers return exactly the ids of ``Tokenizer.encode(text,
-add_special_tokens=False)``. Texts outside the range for which a shorter way is
-proven go through the tokenizers library itself.
+"""Token ids of texts, all from the tokenizers library, each chunk encoded once a worker.
+
+Both tokenizers cut a text by a pattern in which no piece holds a space after a
+character that isn't white space: a space either begins a piece or lies among white
+space. A text can thus be cut before every such space, each chunk be encoded on its own, and
+the ids be joined. Normalisers of the files work character by character or within
+runs of white space or of marks, which no cut divides. Chunks repeat, so their ids
+are kept; a new one goes through ``Tokenizer.encode_batch``. A text that
+holds an added token (they may stand anywhere) is encoded whole.
 """
 
 from __future__ import annotations
 
-import base64
 import os
 import re
-import unicodedata
-from collections.abc import Callable
 
 import numpy as np
 
-#: Entries of a worker's caches, about 250 MB in all. Full ones stay as they are, since
-#: frequent words come early, until so many batches have passed; then they start anew.
-CACHE_WORDS, CACHE_PIECES, BATCHES = 500_000, 800_000, 1000
-#: A longer unbroken run of letters or of white space goes through the tokenizers library.
-LONG_RUN = 2000
-
-
-def _library(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-class _Both(dict):
-    """Looks in a first mapping for what isn't in the second, its own."""
-
-    def __init__(self, first: dict, own: dict):
-        super().__init__(own)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
-
+#: Kept chunks of a worker, about 100 MB; full, the store stays as it is (frequent chunks
+#: come early) until so many calls have passed, then starts anew. Longer chunks aren't kept.
+KEPT, CALLS, KEPT_CHARS = 500_000, 2000, 64
+#: A space before which a text isn't cut, and the places where one is cut else.
+UNCUT, CUT = re.compile(r"\s |\A "), re.compile(r"(?<=\S)(?= )")
 
-class WordIds:
-    """Ids of the lower-casing word tokenizer, as little-endian 16-bit bytes.
 
-    White space only separates there, so a text's ids are those of its words, which
-    are kept. A new word is cut into pieces, and the library encodes the new pieces
-    of many texts in one call, white space between them.
-    """
+class ChunkIds:
+    """Ids of ``Tokenizer.encode(text, add_special_tokens=False)`` for many texts, as bytes of a numpy type."""
 
-    # How the tokenizer's file cuts a normalised text into pieces.
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
-    #: A word of other characters than these, whose class, case and composition the two
-    #: libraries share, goes through the tokenizers library.
-    ODD = re.compile("[^!-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-ɏ‐-‧€]")
+    def __init__(self, path: str, kind: str = "<u4"):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        self.library, self.words, self.pieces, self.batches = _library(path), {}, {}, 0
+        self.library, self.kind, self.calls = Tokenizer.from_file(path), kind, 0
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.first, self.later = {}, {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _ids_of_pieces(self, new: list[str]) -> dict[str, bytes]:
-        learned = {}
-        for at in range(0, len(new), 2000):
-            part = new[at:at + 2000]
-            found = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(found.ids, "<u2"), np.array(found.word_ids, np.int64)
-            if len(ids) and owner[-1] != len(part) - 1:
-                for p in part:
-                    learned[p] = self._whole(p)
-                continue
-            raw, edges = ids.tobytes(), (2 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
-            for p, lo, hi in zip(part, edges, edges[1:]):
-                learned[p] = raw[lo:hi]
-        return learned
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        self.batches += 1
-        if self.batches % BATCHES == 0:
-            self.words, self.pieces = {}, {}
-        words, out, open_texts, new = self.words, [], [], set()
-        for k, text in enumerate(texts):
-            # special tokens may hold anything, and str.split takes these separators for white space
-            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                out.append(self._whole(text))
+        self.calls += 1
+        if self.calls % CALLS == 0:
+            self.first, self.later = {}, {}
+        whole, cut, heads, tails = [], [], set(), set()
+        for text in texts:
+            if any(a in text for a in self.added):
+                whole.append(text)
+                cut.append(None)
                 continue
-            cut = text.split()
-            found = list(map(words.get, cut))
-            if None in found:
-                missing = [i for i, x in enumerate(found) if x is None]
-                new.update(map(cut.__getitem__, missing))
-                open_texts.append((k, cut, found, missing))
-                out.append(b"")
+            # a later chunk is named without the space that it begins with
+            chunks = text.split(" ") if not UNCUT.search(text) else [c[k > 0:] for k, c in enumerate(CUT.split(text))]
+            cut.append(chunks)
+            heads.add(chunks[0])
+            tails.update(chunks[1:])
+        heads, tails = [c for c in heads if c not in self.first], [c for c in tails if c not in self.later]
+        ids = self._encoded([*heads, *(f" {c}" for c in tails), *whole])
+        first, later = self._with(self.first, heads, ids), self._with(self.later, tails, ids[len(heads):])
+        whole = iter(ids[len(heads) + len(tails):])
+        out = [next(whole) if c is None else first[c[0]] + b"".join([later[w] for w in c[1:]]) for c in cut]
+        for known, new in ((self.first, heads), (self.later, tails)):
+            if len(known) > KEPT:
+                for c in new:
+                    del known[c]
             else:
-                out.append(b"".join(found))
-        findall, normal = self.PIECES.findall, unicodedata.normalize
-        odd = {w for w in new if len(w) > LONG_RUN or self.ODD.search(w)}
-        parts = {w: findall((w if w.isascii() else normal("NFC", w)).lower()) for w in new - odd}
-        pieces = self.pieces
-        learned = self._ids_of_pieces([p for p in {p for ps in parts.values() for p in ps} if p not in pieces])
-        of = pieces if not learned else _Both(pieces, learned)
-        fresh = {w: of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for w, ps in parts.items()}
-        fresh.update((w, self._whole(w)) for w in odd)
-        if len(pieces) < CACHE_PIECES:
-            pieces.update(learned)
-        if len(words) < CACHE_WORDS:
-            words.update(fresh)
-        for k, cut, found, missing in open_texts:
-            for i in missing:
-                found[i] = fresh[cut[i]]
-            out[k] = b"".join(found)
+                for c in new:
+                    if len(c) > KEPT_CHARS:
+                        del known[c]
         return out
 
-
-class ByteIds:
-    """Ids of the byte-level tokenizer: the same vocabulary, as ranks, through tiktoken."""
-
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
-        self.path, self.library, self.encoding = path, None, None
-        if ranks_path and pattern:
-            import tiktoken
-
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-
-    def _whole(self, text: str) -> np.ndarray:
-        if self.library is None:
-            self.library = _library(self.path)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.encoding is None or (len(text) > LONG_RUN and re.search(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}", text)):
-            return self._whole(text)
-        if "<|" in text:
-            return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
-
-
-_made: dict[tuple, Callable] = {}
+    @staticmethod
+    def _with(known: dict[str, bytes], new: list[str], ids: list[bytes]) -> dict[str, bytes]:
+        known.update(zip(new, ids))
+        return known
 
 
-def word_ids(path: str) -> WordIds:
-    """One for each worker process and file."""
-    return _made.get(("word", path)) or _made.setdefault(("word", path), WordIds(path))
+_made: dict[tuple[str, str], ChunkIds] = {}
 
 
-def byte_ids(path: str, ranks_path: str | None = None, pattern: str | None = None) -> ByteIds:
-    return _made.get(("byte", path)) or _made.setdefault(("byte", path), ByteIds(path, ranks_path, pattern))
+def chunk_ids(path: str, kind: str = "<u4") -> ChunkIds:
+    """One for each worker process, file and type."""
+    if (path, kind) not in _made:
+        _made[path, kind] = ChunkIds(path, kind)
+    return _made[path, kind]

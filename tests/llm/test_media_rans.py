@@ -82,13 +82,27 @@ def test_tokens_equal_the_library():
 
     from tokenizers import Tokenizer
 
-    from quarry.llm.tokens import ByteIds, WordIds
+    from quarry.llm.tokens import ChunkIds
 
     r = random.Random(4)
-    texts = ["", "  ", "a\x1cb", "Don't I'LL _x__ 12_3 x²", "<|endoftext|> a", "ΣΑΣ ﬁ 日本語", "x" * 3000, "İß º", "a  b\n\n c \t d "]
+    texts = ["", "  ", " ", " a", "a ", "a\x1cb", "a\x1c b", "Don't I'LL _x__ 12_3 x²", "<|endoftext|> a", "a <|startoftext|>b <|endoftext|> c", "ΣΑΣ ﬁ 日本語", "x" * 3000, "İß º", "a  b\n\n c \t d "]
     texts += ["".join(r.choice("ab'strDL1 _.,!é\n-$<|²Ώ\u0301\xa0\u2003") for _ in range(r.randint(1, 60))) for _ in range(400)]
-    word, byte = WordIds(P.path("word_bpe_49k.json")), ByteIds(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    lw, lb = Tokenizer.from_file(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for t, got in zip(texts, word(texts)):
-        assert np.frombuffer(got, "<u2").tolist() == lw.encode(t, add_special_tokens=False).ids, t
-        assert byte(t).tolist() == lb.encode(t, add_special_tokens=False).ids, t
+    # every character of the first plane before and after a cut
+    points = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"x{c} y {c}z{c}  q" for c in points[k:k + 256]) for k in range(0, len(points), 256)]
+    for name, kind in (("word_bpe_49k.json", "<u2"), ("byte_bpe_50k.json", "<u4")):
+        chunks, library = ChunkIds(P.path(name), kind), Tokenizer.from_file(P.path(name))
+        for _ in range(2):
+            for t, got, e in zip(texts, chunks(texts), library.encode_batch(texts, add_special_tokens=False)):
+                assert np.frombuffer(got, kind).tolist() == e.ids, t
+
+
+def test_full_stores_of_chunks_stay_bounded(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from quarry.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 5)
+    chunks = tokens.ChunkIds(P.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{k}{j}" for j in range(4)) for k in range(9)]
+    want = tokens.ChunkIds(P.path("byte_bpe_50k.json"))(texts)
+    assert [chunks([t])[0] for t in texts] == want and len(chunks.first) <= 6 and len(chunks.later) <= 9

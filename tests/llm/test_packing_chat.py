@@ -43,7 +43,7 @@ def test_pieces():
 
 def test_pack_nulls_repeats_and_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (1, None), (2, ""), (3, "a " * 50), (4, "a " * 7)], "doc_id long, text string").repartition(3)
-    encode = lambda: lambda t: np.ones(len(t.split()), np.uint32)
+    encode = lambda: lambda ts: [np.ones(len(t.split()), "<u4").tobytes() for t in ts]
     for k, rows in enumerate((df, df.limit(0))):
         packing.cut_pieces(rows, encode, capacity=8).write.parquet(str(tmp_path / f"p{k}"))
     got = packing.pack(spark.read.parquet(str(tmp_path / "p0")), 8).collect()
