@@ -41,20 +41,19 @@ def usable(vector: Column | str) -> Column:
     return v.isNotNull() & F.coalesce(~odd, F.lit(False))
 
 
-def _ragged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in ascending order and a matrix of weights, zero where a row is shorter."""
-    ids = table.column("vec_id").to_numpy()
+def _ragged(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row numbers and ids in the order of ids, null ids last, and a matrix of weights, zero where a row is shorter."""
+    table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
     lists = table.column("weights").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     values = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:] if len(lists) else np.zeros(0, np.int64)
     lengths = np.diff(offsets)
-    dense = np.zeros((len(ids), int(lengths.max(initial=0))), np.int64)
+    dense = np.zeros((len(lists), int(lengths.max(initial=0))), np.int64)
     if len(values):
         dense[np.arange(dense.shape[1])[None, :] < lengths[:, None]] = values[: int(lengths.sum())]
-    order = np.argsort(ids, kind="stable")
-    return ids[order], dense[order]
+    return table.column("row").to_numpy(), table.column("vec_id").combine_chunks(), dense
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -97,23 +96,23 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[in
 
 
 def _select(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        qid, q = _ragged(left)
-        cid, c = _ragged(right)
-        n, out = len(cid), []
+        q_row, q_id, q = _ragged(left)
+        c_row, c_id, c = _ragged(right)
+        n, out = len(c_row), []
         for first, scores in accumulate(q, c):
             # one key orders by score, then by smaller id: positions follow the ids
             keys = scores.astype(np.int64) * n + np.arange(n - 1, -1, -1)
             take = min(k + 1, n)
             top = np.argpartition(keys, n - take, axis=1)[:, n - take:]
-            ids = qid[first:first + len(scores)]
-            found, score = cid[top], np.take_along_axis(scores, top, axis=1)
-            own = found == ids[:, None]
-            out.append(pa.table([np.broadcast_to(ids[:, None], own.shape)[~own], found[~own], score[~own].astype(np.int64)], schema=schema))
+            score, at = np.take_along_axis(scores, top, axis=1), np.broadcast_to(np.arange(first, first + len(scores))[:, None], top.shape)
+            other = c_row[top] != q_row[at]
+            asked, found = at[other], top[other]
+            out.append(pa.table([q_row[asked], q_id.take(pa.array(asked)), c_id.take(pa.array(found)), score[other].astype(np.int64)], schema=schema))
         return pa.concat_tables(out)
 
     return best
@@ -129,22 +128,23 @@ def exact_topk(
     expression on the id. Returns query_id, rank from 1, vec_id, score; ties go to
     the smaller id. A row isn't a candidate of its own query.
 
-    Null vectors, null ids and vectors with a null or non-finite component take no
-    part. Rows that repeat an id count once (of different vectors under one id the
-    least, in array order). A shorter vector lacks the last dimensions, an empty one
-    scores 0. An empty table gives an empty result; further columns are ignored.
+    Null vectors and vectors with a null or non-finite component take no part. Rows
+    that repeat an id stay apart: each is a candidate of the others, and if it's a
+    query each has its own ranks. A null id is a candidate, after the others among
+    ties. A shorter vector lacks the last dimensions, an empty one scores 0. An empty
+    table gives an empty result; further columns are ignored.
     Scores are 64-bit: |component| * scale stays under 2**31 or so.
     """
-    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(quantised(vector_col, scale)).alias("weights"))
-    rows = materialised(rows.withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
+    ids = vectors.filter(usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("weights"))
+    rows = materialised(ids.withColumn("q", F.coalesce(is_query, F.lit(False))).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, queries = rows.agg(F.count("*"), F.count_if("q")).first()
     n_c, n_q = max(least_blocks, -(-n // block_rows)), max(1, -(-queries // query_rows))
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.filter("q").select(block(n_q, 1).alias("qb"), every(n_c).alias("cb"), "vec_id", "weights")
-    right = rows.select(every(n_q).alias("qb"), block(n_c, 2).alias("cb"), "vec_id", "weights")
-    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_select(k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    left = rows.filter("q").select(block(n_q, 1).alias("qb"), every(n_c).alias("cb"), "row", "vec_id", "weights")
+    right = rows.select(every(n_q).alias("qb"), block(n_c, 2).alias("cb"), "row", "vec_id", "weights")
+    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_select(k), "query_row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -155,10 +155,10 @@ def op10_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS w FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -5,22 +5,18 @@ from quarry.llm import topk
 
 
 def brute(rows, k):
-    good = {}
-    for i, v in rows:
-        if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(64 * float(x))) for x in v]
-            good[i] = min(good.get(i, w), w)
+    good = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in good.items():
-        if q % 5 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good.items() if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
-    return sorted(out)
+    for a, (q, v) in enumerate(good):
+        if q is not None and q % 5 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), i is None, i or 0) for b, (i, w) in enumerate(good) if a != b)[:k]
+            out += [(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(scored)]
+    return sorted(out, key=repr)
 
 
 def run(spark, rows, **more):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
-    return sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 5 == 0, 3, **more).collect())
+    return sorted((tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 5 == 0, 3, **more).collect()), key=repr)
 
 
 def test_ties_nulls_repeats_and_ragged_rows(spark):
@@ -32,6 +28,17 @@ def test_ties_nulls_repeats_and_ragged_rows(spark):
     assert run(spark, [(*x, "clash") for x in rows], block_rows=7, query_rows=4, least_blocks=3) == want
 
 
+def test_repeated_ids_agree_with_the_sql(spark):
+    import duckdb
+
+    r = np.random.default_rng(3)
+    rows = [(i % 50, [float(x) for x in r.integers(-9, 9, 6) / 16]) for i in range(62)]
+    embeddings = spark.createDataFrame(rows, "vec_id long, embedding array<float>").toPandas()  # noqa: F841
+    want = duckdb.sql(topk.OP10_SQL).fetchall()
+    got = [tuple(x) for x in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 20 * sum(i % 20 == 0 for i, _ in rows)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
