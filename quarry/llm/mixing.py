@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialised, table
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
+#: Words of a block, whatever the table's size: a target is met within about half a block and the rounding of a shard's last one.
+BLOCK_WORDS = 16
 #: Fixed primes above any number of blocks in a shard; one steps through the blocks in a seeded order.
 STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
 
@@ -72,12 +74,12 @@ def apportioned(units: DataFrame, seats: str, group: list[str], order: list[str]
     return seat.withColumn("_won", won.cast("long")).groupBy(*units.columns).agg((F.max("_low") + F.sum("_won")).alias("quota"))
 
 
-def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shard_words: int = 1 << 20, block_words: int | None = None) -> DataFrame:
+def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shard_words: int = 1 << 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of documents.
 
     taken counts words with repeats, at most LIMIT times the size. A source's sum comes
-    near its target: blocks have block_words words (from 1 to 16, by default with the
-    number of words, so that small tables are apportioned by the word). Documents
+    near its target: quotas count blocks of block_words words, and a shard is cut in
+    equal blocks, as many as it holds of these, rounded, but one at least. Documents
     without words take none; a null source is a source of its own, the last; repeated
     rows are each a document; an empty table gives an empty one. Reruns and other
     partitionings give the same rows.
@@ -86,8 +88,7 @@ def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sized = materialised(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     every = Window.partitionBy(F.lit(1))
-    block = F.greatest(F.lit(1), F.least(F.lit(16), F.floor(F.sum("source_size").over(every) / 2_000_000))).cast("long") if block_words is None else F.lit(block_words).cast("long")
-    aimed = targets(sources).withColumn("block", block).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
+    aimed = targets(sources).withColumn("block", F.lit(block_words).cast("long")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
     aimed = aimed.withColumn("seats", F.round(F.sum("source_size").over(every) / F.col("block")).cast("long"))
     units = aimed.withColumn("share", F.col("target")).withColumn("most", F.ceil(LIMIT * F.col("source_size") / F.col("block")).cast("long"))
     quotas = materialised(apportioned(units, "seats", [], ["source"]).select("source", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota")), "quotas")

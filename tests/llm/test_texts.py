@@ -108,7 +108,7 @@ def test_mix_reaches_targets(spark):
 
     rows = [(1, "a b c", "x"), (2, "d " * 40, "y"), (3, "e " * 500, None), (4, "", "x"), (5, None, None), (6, "f", "zz"), (6, "f", "zz")] + [(i, "w " * (i % 7), "big") for i in range(100, 400)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, target double")
-    got, again = (mixing.mix(x, shard_words=200).collect() for x in (df, df.repartition(7)))
+    got, again = (mixing.mix(x, shard_words=200, block_words=1).collect() for x in (df, df.repartition(7)))
     key = lambda x: (x.doc_id, x["size"], x.taken)
     assert sorted(got, key=key) == sorted(again, key=key) and len(got) == len(rows)
     assert all(0 <= x.taken <= 3 * x["size"] for x in got)
@@ -116,6 +116,10 @@ def test_mix_reaches_targets(spark):
     for s, target in brute(rows).items():
         own = [x for x in got if source[x.doc_id] == s]
         assert own[0].target == pytest.approx(target) and abs(sum(x.taken for x in own) - target) <= 4
+    # the usual unit is the same for any table: within a block of a target, and a shard's rounding to whole blocks three times
+    usual = mixing.mix(df).collect()
+    for s, target in brute(rows).items():
+        assert abs(sum(x.taken for x in usual if source[x.doc_id] == s) - target) <= 2.5 * mixing.BLOCK_WORDS
     for few in ([], [(1, None, "a"), (2, "", None)]):
         assert {x.taken for x in mixing.mix(spark.createDataFrame(few, "doc_id long, text string, source string")).collect()} <= {0}
 
