@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,16 +32,78 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Folders written by this process, with the Hadoop object that deletes each.
+_folders: dict[str, tuple] = {}
+
+
+def _delete(path: str) -> None:
+    store, hadoop_path = _folders.pop(path, (None, None))
+    if store is not None:
+        store.delete(hadoop_path, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_folders):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            return
+
+
+def owned_dir(spark: SparkSession, what: str) -> str:
+    """A new path as shared_dir gives it, deleted when this process ends."""
+    path = shared_dir(spark, what)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _folders[path] = (hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path)
+    return path
+
+
 def materialised(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again.
 
     It cuts the lineage, so a lost executor costs a re-read of files, and it keeps
-    later stages from running the steps above it twice.
+    later stages from running the steps above it twice. The folder goes when the
+    process ends, or by release().
     """
     spark = df.sparkSession
-    path = shared_dir(spark, what)
+    path = owned_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of materialised frames that nothing will read again."""
+    for df in frames:
+        if getattr(df, "_folder", None):
+            _delete(df._folder)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, rows: int, how: str = "left") -> DataFrame:
+    """Joins left with right, which has a row a key at most, on a key that may hold any share of left.
+
+    Of a key with more than rows / (4 tasks) of left's rows (there are under 4 tasks
+    of them, so their table is broadcast), left's rows are dealt over several parts and right's row
+    is copied to each. left must be read from files, so that its rows stay in order.
+    """
+    spark = left.sparkSession
+    most = max(1, rows // (4 * tasks(spark)))
+    many = left.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    many = materialised(many.select(F.col(on).alias("_on"), F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "frequent")
+    same = F.col(on).eqNullSafe(F.col("_on"))
+    dealt = left.join(F.broadcast(many), same, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).cast("int")).drop("_on", "_parts")
+    copied = right.join(F.broadcast(many), same, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_on", "_parts")
+    return dealt.join(copied, [on, "_part"], how).drop("_part")
 
 
 def text_key(text: Column | str) -> Column:

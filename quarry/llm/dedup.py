@@ -2,12 +2,13 @@
 
 Equal texts collapse to one class first. A signature of one minimum a hash function
 is cut in bands; bands and rows are chosen so that a pair at the threshold shares a
-band with the wanted probability. Band hashes are shuffled, and each class that
-shares a bucket is linked to the bucket's least class; the groups that these edges
-connect hold every candidate pair, at one row a class and bucket. A group's texts go to one
-task, or, if it's large, to one task for each pair of blocks of bounded size. A task
-verifies its pairs on the full n-gram sets and returns a count a class and the edges
-that hold the verified links together, never the pairs.
+band with the wanted probability. Band hashes are shuffled. Classes that share a bucket
+are candidates; buckets of the same classes count once. Within a bucket, sketches (a byte a
+minimum) leave out pairs far below the threshold, and a spanning forest of the rest
+joins classes in groups, so that chance meetings of unlike texts don't chain. A
+group's texts go to one task, or, if it's large, to one task for each pair of blocks of
+bounded size. A task verifies its pairs on the full n-gram sets and returns a count a class and the
+edges that hold the verified links together, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialised, table, text_key
+from quarry.llm.common import materialised, release, spread_join, table, text_key
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: A task verifies at most two blocks, each of at most so many texts and characters (or one longer text).
 BLOCK_TEXTS, BLOCK_CHARS = 1024, 1 << 23
+#: A task compares the sketches of at most two blocks of a bucket, of about so many classes each.
+BUCKET_ROWS = 4096
+#: Standard deviations under the threshold at which a sketch rules a pair out (a pair at the threshold is lost once in three million).
+SURE = 5
 #: Columns of an incidence matrix at a time.
 DIMENSIONS = 4096
 
@@ -76,8 +81,8 @@ class Shingles:
         return np.unique(out)
 
 
-def signature_bands(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit hash a band of the minima of bands * rows hash functions."""
+def signature(shingles: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit hash a band of the minima of bands * rows hash functions, and the lowest byte of each."""
     r = np.random.default_rng(20240501)
     a = (r.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
     b = r.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
@@ -93,7 +98,59 @@ def signature_bands(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.arange(bands, dtype=np.uint64)
     for k in range(rows):
         out = _mixed(out ^ low.reshape(bands, rows)[:, k].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
-    return out.view(np.int64)
+    return out.view(np.int64), low.astype(np.uint8)
+
+
+def forest(sketches: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """Edges that span what pairs with least equal bytes connect; each row is compared with those not reached yet."""
+    u, v, left = [], [], np.arange(len(sketches))
+    while len(left) > 1:
+        open_rows, left = [left[0]], left[1:]
+        while open_rows and len(left):
+            x = open_rows.pop()
+            near = (sketches[left] == sketches[x]).sum(axis=1) >= least
+            new, left = left[near], left[~near]
+            u += [int(x)] * len(new)
+            v += new.tolist()
+            open_rows += new.tolist()
+    return u, v
+
+
+def _likely(least: int):
+    """For mapInArrow over group, key, sketch, a group's rows together: edges u, v."""
+
+    def edges(table: pa.Table) -> pa.RecordBatch:
+        group, keys, u, v = table.column("group").to_numpy(), table.column("key"), [], []
+        data = b"".join(table.column("sketch").to_pylist())
+        sketches = np.frombuffer(data, np.uint8).reshape(len(group), -1)
+        cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+        sizes = np.diff(cuts)
+        two = cuts[:-1][sizes == 2]
+        two = two[(sketches[two] == sketches[two + 1]).sum(axis=1) >= least]
+        u, v = two.tolist(), (two + 1).tolist()
+        for lo, hi in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist()):
+            a, b = forest(sketches[lo:hi], least)
+            u += [x + lo for x in a]
+            v += [x + lo for x in b]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(x, pa.int64())).combine_chunks().cast(pa.string()) for x in (u, v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            group = held.column("group").to_numpy()
+            # the last group may go on in the next batch
+            last = int(np.searchsorted(group, group[-1])) if group[0] != group[-1] else 0
+            if last:
+                yield edges(held.slice(0, last))
+                held = held.slice(last).combine_chunks()
+        if held is not None:
+            yield edges(held)
+
+    return run
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -124,26 +181,29 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Rounds of two steps: each node points its larger neighbours to its least one, then
     its smaller ones too. Both keep components and shrink paths; every round is
-    written, and the loop ends when no edge changes. Rows stay within twice the edges.
+    written, and the loop ends when no edge changes. Rows stay within twice the edges,
+    and a hub's edges are dealt over tasks.
     """
     e = materialised(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
 
     def state(x: DataFrame):
         return x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    def least(both: DataFrame, pairs: DataFrame) -> DataFrame:
+    def least(both: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
         # the least of a node's neighbours and itself, joined to its own edges
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return pairs.join(m, "u")
+        return spread_join(pairs, m, "u", n, "inner")
 
     before = state(e)
     while before[0]:
         turned = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least(turned, turned).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = least(turned, turned, 2 * before[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialised(large, "large-star")
-        small = least(large, large)
+        release(e)
+        small = least(large, large, large.count())
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         e = materialised(small, "small-star")
+        release(large)
         after = state(e)
         if after == before:
             break
@@ -216,17 +276,24 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         sets = Shingles(words)
         for batch in batches:
             found = (sets(t.as_py()) for t in batch.column(2))
-            signatures = [signature_bands(s, bands, rows) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signatures, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+            made = [signature(s, bands, rows) if len(s) else (None, None) for s in found]
+            sketches = pa.array([None if y is None else y.tobytes() for _, y in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.list_(pa.int64())), sketches], names=["doc_id", "key", "bands", "sketch"])
 
-    signed = materialised(base.select("doc_id", "key", "text").mapInArrow(signed_rows, "doc_id long, key string, bands array<long>"), "signatures")
+    signed = materialised(base.select("doc_id", "key", "text").mapInArrow(signed_rows, "doc_id long, key string, bands array<long>, sketch binary"), "signatures")
     # any copy's bands do: equal texts have equal ones
-    classes = signed.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialised(classes, "classes")
     buckets = classes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("band", "bucket").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    candidates = buckets.join(shared, ["band", "bucket"]).filter(F.col("key") != F.col("least")).select(F.col("key").alias("u"), F.col("least").alias("v"))
-    groups = materialised(connected(candidates), "groups")
+    shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("n > 1")
+    # buckets of the same classes need one look
+    shared = shared.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks"))
+    members = buckets.join(shared, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select(F.xxhash64("band", "bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "key")
+    sketched = members.join(classes.select("key", "sketch"), "key").select("group", "key", "sketch").repartition("group").sortWithinPartitions("group")
+    least = math.ceil(bands * rows * (threshold - SURE * math.sqrt(threshold * (1 - threshold) / (bands * rows))))
+    groups = materialised(connected(sketched.mapInArrow(_likely(least), "u string, v string")), "groups")
     # sizes of groups, in texts; large groups are dealt in blocks by a hash of the text
     member = groups.join(classes.select(F.col("key").alias("node"), "copy_id", "copies"), "node")
     texts = base.select(F.col("doc_id").alias("_id"), F.col("key").alias("_node"), "text")
@@ -244,7 +311,8 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     named = classes.select("key", "copy_id", "copies").join(components.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = named.join(least, "root").select("key", "copy_id", "class_id", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "key", F.col("bands").isNotNull().alias("some")).join(named, "key", "left")
+    rows_of = signed.select("doc_id", "key", F.col("bands").isNotNull().alias("some"))
+    out = spread_join(rows_of, named, "key", signed.count())
     own = lambda c: F.when(F.col("some"), F.col(c)).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("key").alias("text_key"), own("copy_id").alias("copy_id"), own("class_id").alias("class_id"), F.when(F.col("some"), F.col("root")).otherwise(F.concat_ws(":", "key", "doc_id")).alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
