@@ -98,12 +98,13 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, rows: int, how: str
     """
     spark = left.sparkSession
     most = max(1, rows // (4 * tasks(spark)))
-    many = left.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
-    many = materialised(many.select(F.col(on).alias("_on"), F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "frequent")
-    same = F.col(on).eqNullSafe(F.col("_on"))
-    dealt = left.join(F.broadcast(many), same, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).cast("int")).drop("_on", "_parts")
-    copied = right.join(F.broadcast(many), same, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_on", "_parts")
-    return dealt.join(copied, [on, "_part"], how).drop("_part")
+    key, parts, part = (unused(left, unused(right, c)) for c in ("_on", "_parts", "_part"))
+    many = left.groupBy(on).agg(F.count("*").alias(parts)).filter(F.col(parts) > most)
+    many = materialised(many.select(F.col(on).alias(key), F.ceil(F.col(parts) / most).cast("int").alias(parts)), "frequent")
+    same = F.col(on).eqNullSafe(F.col(key))
+    dealt = left.join(F.broadcast(many), same, "left").withColumn(part, F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(parts))).cast("int")).drop(key, parts)
+    copied = right.join(F.broadcast(many), same, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(key, parts)
+    return dealt.join(copied, [on, part], how).drop(part)
 
 
 def text_key(text: Column | str) -> Column:

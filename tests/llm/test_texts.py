@@ -87,11 +87,53 @@ def test_identifiers_of_any_length_and_far_contexts(spark):
     rows += [(30 + i, f"{'y' * 100} 9{i}x z") for i in range(5)]
     got = {x.doc_id: x.spans for x in pii.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[20 + i] for i in range(5)] == [f"ctx:102:{102 + len(v)}" for v in values] and not any(got[30 + i] for i in range(5))
-    text = F.lit("y" * 100 + " 12345 " + "z" * 100)
-    near = spark.range(1).select(pii._around(text, pii.tokens(text)[0]).alias("s")).first().s
+    text = "y" * 100 + " 12345 " + "z" * 100
+    near = pii.spans_table(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().free[0]
     assert (near.left, near.right) == (["y" * 100], ["z" * 100])
 
 
+def test_contexts_of_dense_spans_match_a_plain_scan(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["1", "a2", "x", "(b3)", "@", "a1@b.co", "+12 345 6789", "..", "4111 1111 1111 1111"]) for _ in range(r.randint(1, 25))) for _ in range(60)]
+    texts += ["12a34a56a78a4111111111111111a55 x", "z" * 70 + " 1 2 " + "q" * 90]
+    word = re.compile(r"[^\W]+|[^\w\s\"'`(){}<>\[\]]+")
+
+    def sides(text, low, high):
+        left, right = (word.findall(re.sub("[0-9]", "0", x.lower())) for x in (text[:low], text[high:]))
+        return [" ".join(left[-n:]) for n in (1, 2, 3) if len(left) >= n], [" ".join(right[:n]) for n in (1, 2, 3) if len(right) >= n]
+
+    rows = pii.spans_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(len(x.seeds) + len(x.free) for x in rows) > 300
+    for x in rows:
+        spans = [(s.start, s.end) for s in x.seeds]
+        assert all(not any(a < s.end and s.start < b for a, b in spans) for s in x.free)
+        for s in [*x.seeds, *x.free]:
+            assert (s.left, s.right) == sides(texts[x.doc_id], s.start, s.end), texts[x.doc_id]
+
+
+def test_long_texts_of_identifiers_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"no. 55500{k:05} of u{k}@x.org," for k in range(8000)) + " " + " ".join(f"{k}x" for k in range(60000))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {x.doc_id: x for x in pii.spans_table(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert len(rows[1].seeds) == 8000 and len(rows[1].free) == 68000 and rows[2].seeds == []
+    spans = F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    got = pii.spans_table(df).filter("doc_id = 1").withColumn("text", F.lit(text)).select(pii.masked(F.col("text"), spans).alias("m")).first().m
+    assert got == re.sub(r"u\d+@x\.org", "<email>", text)
+
+
+def test_masked_joins_overlaps_and_keeps_other_columns(spark):
+    kind = "array<struct<start:int,end:int,kind:string>>"
+    rows = [("a" * 3000 + "é😀b", [(0, 5, "x"), (3, 1500, "y"), (1499, 1500, "z"), (1500, 2048, "w"), (3001, 3003, "v")])]
+    got = spark.createDataFrame(rows, f"t string, s {kind}").select(pii.masked(F.col("t"), F.col("s"))).first()[0]
+    assert got == "<x><w>" + "a" * 952 + "é<v>"
+    df = spark.createDataFrame([(1, "mail a@b.co", "k", 7), (2, None, "l", 8)], "doc_id long, text string, _key string, _spans int")
+    assert sorted(tuple(x) for x in pii.redacted(df).collect()) == [(1, "mail <email>", "k", 7), (2, None, "l", 8)]
+
+
 def test_mix_reaches_targets(spark):
     def brute(rows):
         size = {}
