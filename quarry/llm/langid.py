@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import unused
+
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 #: Expected rows of a language in the training sample. All are taken if there are fewer.
 SAMPLE_ROWS = 3000
@@ -148,8 +150,8 @@ def train(documents: DataFrame, usable: Column, *, id_col: str = "doc_id", text_
     return Model(languages, np.log(n / n.sum()), matrix.astype(np.float32).astype(np.float64))
 
 
-def identify(documents: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """All columns of documents, and lang_pred and score, which replace such columns.
+def identify(documents: DataFrame, model: Model, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of documents, and the prediction and its score, which replace columns of their names.
 
     Null texts, empty ones and ones without letters are und with score 0. Rows are
     scored one by one, so repeated rows score alike.
@@ -163,8 +165,8 @@ def identify(documents: DataFrame, model: Model, *, text_col: str = "text") -> D
         parts = [shared.value.predict(list(texts.iloc[at:at + 512])) for at in range(0, len(texts), 512)]
         return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts]) if parts else []})
 
-    rest = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "_found")]
-    return documents.select(*rest, scored(text_col).alias("_found")).select(*rest, "_found.lang_pred", "_found.score")
+    rest, found = [c for c in documents.columns if c.lower() not in (pred_col.lower(), score_col.lower())], unused(documents, "_found")
+    return documents.select(*rest, scored(text_col).alias(found)).select(*rest, F.col(f"{found}.lang_pred").alias(pred_col), F.col(f"{found}.score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -348,6 +348,18 @@ def test_mixed_documents_keep_each_source_near_its_target(spark):
     assert len(target) == 4 and all(abs(got[s] - target[s]) <= 12 for s in target)
 
 
+def test_stages_leave_clashing_columns_as_they_are(spark, data):
+    import corpus_pipeline as cp
+    from quarry.llm.common import materialised
+
+    words = "the dog runs fast through a forest and then it sleeps"
+    rows = [(k, f"{words} number {k} of many here " + "again and so on " * k, "en", "s", "key", k, "spans", 0.5, "pred") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _key string, _copy int, _spans string, size double, score string")
+    for name, stage in cp.STAGES[:-1]:
+        left = materialised(stage(spark, docs, data), name)
+        assert left.columns == docs.columns and left.count() and {tuple(x)[4:] for x in left.collect()} <= {r[4:] for r in rows}
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as cp
     from quarry.llm.common import materialised
