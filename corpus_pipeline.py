@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import dedup, langid, mixing, packing, pii
-from quarry.llm.common import materialised, table, tasks, text_key
+from quarry.llm.common import materialised, release, table, tasks, text_key, unused
 
 #: A document stays if its language is known with at least this probability.
 LEAST_SCORE = 0.5
@@ -20,9 +20,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letters, and those whose language is less likely than LEAST_SCORE, go.
     """
     model = langid.train(docs, F.lit(True))
-    found = langid.identify(docs, model)
-    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    pred, score = unused(docs, "_pred"), unused(docs, "_score")
+    found = langid.identify(docs, model, pred_col=pred, score_col=score)
+    kept = found.filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(pred)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = dedup.near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     least = found.groupBy("class_key").agg(first.alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_least"))
-    rows = docs.withColumn("_key", text_key("text"))
-    return rows.join(least, (F.col("_key") == F.col("_least")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    key = unused(docs, "_key")
+    rows = docs.withColumn(key, text_key("text")).alias("d")
+    same = (F.col(f"d.{key}") == F.col("l._least")) & F.col("d.doc_id").eqNullSafe(F.col("l._id"))
+    return rows.join(least.alias("l"), same).select("d.*").dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +73,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     it within a source in a seeded order, so that a source's words end within half
     its longest document of those taken. Up to three times."""
     # ids may repeat with different texts; the stage before left no row twice
-    keyed = docs.withColumn("_key", F.concat_ws(":", "doc_id", text_key("text")))
-    plan = mixing.mix(keyed, id_col="_key").withColumnRenamed("doc_id", "_key").filter(F.col("size") > 0)
-    copies = rounded(plan.join(keyed.select("_key", "source"), "_key")).filter(F.col("_copies") > 0)
-    return keyed.join(copies, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    key, copy = unused(docs, "_key"), unused(docs, "_copy")
+    keyed = docs.withColumn(key, F.concat_ws(":", "doc_id", text_key("text")))
+    slim = keyed.select(F.col(key).alias("_key"), "text", "source")
+    plan = mixing.mix(slim, id_col="_key").withColumnRenamed("doc_id", "_key").filter(F.col("size") > 0)
+    copies = rounded(plan.join(slim.select("_key", "source"), "_key")).filter(F.col("_copies") > 0)
+    copies = copies.select(F.col("_key").alias(key), F.sequence(F.lit(1), F.col("_copies")).alias(copy))
+    return keyed.join(copies, key).withColumn(copy, F.explode(copy)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,5 +103,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each one's rows written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialised(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
