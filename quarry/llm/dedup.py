@@ -301,7 +301,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     held = texts.join(member, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("copy_id"))).dropDuplicates(["node"])
     held = materialised(held.select(F.col("node").alias("key"), "root", "copies", "text"), "candidates")
     blocks = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    dealt = held.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = spread_join(held, blocks, "root", held.count(), "inner").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = dealt.withColumn("other", other).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "copies", "text")
     found = pairs.groupBy("root", "low", "high").applyInArrow(_verify(words, threshold), "u string, v string, links long")
