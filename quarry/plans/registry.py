@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tabular", "measures", "sequences", "features", "signals", "models", "clusterings")
+MODULES = ("tabular", "measures", "sequences", "features", "signals", "models", "clusterings", "waves", "fits")
 
 
 def collect(kind: str) -> dict:
