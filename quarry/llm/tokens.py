@@ -32,7 +32,7 @@ class ChunkIds:
 
         self.library, self.kind, self.calls = Tokenizer.from_file(path), kind, 0
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first, self.later = {}, {}
+        self.later = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -40,38 +40,30 @@ class ChunkIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.calls += 1
         if self.calls % CALLS == 0:
-            self.first, self.later = {}, {}
-        whole, cut, heads, tails = [], [], set(), set()
+            self.later = {}
+        cut, words = [], set()
         for text in texts:
             if any(a in text for a in self.added):
-                whole.append(text)
-                cut.append(None)
+                cut.append(text)
                 continue
             # a later chunk is named without the space that it begins with
             chunks = text.split(" ") if not UNCUT.search(text) else [c[k > 0:] for k, c in enumerate(CUT.split(text))]
-            cut.append(chunks)
-            heads.add(chunks[0])
-            tails.update(chunks[1:])
-        heads, tails = [c for c in heads if c not in self.first], [c for c in tails if c not in self.later]
-        ids = self._encoded([*heads, *(f" {c}" for c in tails), *whole])
-        first, later = self._with(self.first, heads, ids), self._with(self.later, tails, ids[len(heads):])
-        whole = iter(ids[len(heads) + len(tails):])
-        out = [next(whole) if c is None else first[c[0]] + b"".join([later[w] for w in c[1:]]) for c in cut]
-        for known, new in ((self.first, heads), (self.later, tails)):
-            if len(known) > KEPT:
-                for c in new:
-                    del known[c]
-            else:
-                for c in new:
-                    if len(c) > KEPT_CHARS:
-                        del known[c]
+            head = chunks.pop(0)
+            words.update(chunks)
+            cut.append((head, chunks))
+        later = self.later
+        new = [c for c in words if c not in later]
+        # the first chunk of a text has no space before it
+        heads = [c if isinstance(c, str) else c[0] for c in cut]
+        ids = self._encoded([*heads, *map(" ".__add__, new)])
+        later.update(zip(new, ids[len(heads):]))
+        out = [head if isinstance(c, str) else head + b"".join(map(later.__getitem__, c[1])) for head, c in zip(ids, cut)]
+        full = len(later) > KEPT
+        for c in new:
+            if full or len(c) > KEPT_CHARS:
+                del later[c]
         return out
 
-    @staticmethod
-    def _with(known: dict[str, bytes], new: list[str], ids: list[bytes]) -> dict[str, bytes]:
-        known.update(zip(new, ids))
-        return known
-
 
 _made: dict[tuple[str, str], ChunkIds] = {}
 
