@@ -50,11 +50,16 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return flat.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+def _beside(rows: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame:
+    """rows with _all, the few rows of a model as an array of structs: a choice among them is an expression of the row, without a shuffle."""
+    return rows.crossJoin(F.broadcast(table.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_all"))))
+
+
 def nearest_centroid(rows: DataFrame, id_col: str, vector: str, centres: DataFrame) -> DataFrame:
     """id, predicted: the label of the nearest centroid, ties to the least label."""
-    narrow = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"))
-    near = narrow.crossJoin(F.broadcast(centres)).select("id", F.struct(DISTANCES["euclidean"](F.col("_v"), F.col("centroid")).alias("d"), "label").alias("s"))
-    return near.groupBy("id").agg(F.min("s").alias("s")).select("id", F.col("s.label").alias("predicted"))
+    both = _beside(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")), centres, ["label", "centroid"])
+    near = F.array_min(F.transform("_all", lambda c: F.struct(DISTANCES["euclidean"](F.col("_v"), c["centroid"]).alias("d"), c["label"].alias("label"))))
+    return both.select("id", near["label"].alias("predicted"))
 
 
 def gaussian_nb(rows: DataFrame, label: str, names: list[str], smoothing: float = 1e-9) -> DataFrame:
@@ -64,11 +69,13 @@ def gaussian_nb(rows: DataFrame, label: str, names: list[str], smoothing: float
 
 def gaussian_nb_predict(rows: DataFrame, id_col: str, names: list[str], model: DataFrame) -> DataFrame:
     """id, predicted by the largest joint log likelihood; the model's few rows are broadcast."""
-    like = F.ln(F.col("n"))
-    for c in names:
-        like = like - 0.5 * F.ln(F.col(f"var_{c}") * 6.283185307179586) - F.pow(F.col(c) - F.col(f"mean_{c}"), 2) / (2 * F.col(f"var_{c}"))
-    both = rows.select(F.col(id_col).alias("id"), *names).crossJoin(F.broadcast(model)).select("id", F.struct(like.alias("l"), "label").alias("s"))
-    return both.groupBy("id").agg(F.max("s").alias("s")).select("id", F.col("s.label").alias("predicted"))
+    both = _beside(rows.select(F.col(id_col).alias("id"), *names), model, ["label", "n", *(f"{k}_{c}" for c in names for k in ("mean", "var"))])
+
+    def like(m):
+        parts = (-0.5 * F.ln(m[f"var_{c}"] * 6.283185307179586) - F.pow(F.col(c) - m[f"mean_{c}"], 2) / (2 * m[f"var_{c}"]) for c in names)
+        return F.struct(sum(parts, F.ln(m["n"])).alias("l"), m["label"].alias("label"))
+
+    return both.select("id", F.array_max(F.transform("_all", like))["label"].alias("predicted"))
 
 
 def ols(rows: DataFrame, names: list[str], target: str, ridge: float = 0.0, intercept: bool = True) -> dict[str, float]:
@@ -90,15 +97,14 @@ def ols(rows: DataFrame, names: list[str], target: str, ridge: float = 0.0, inte
 def kmeans(rows: DataFrame, id_col: str, vector: str, starts: DataFrame, iterations: int = 5) -> DataFrame:
     """label, centroid after rounds of Lloyd's algorithm from starts (label, centroid).
 
-    A round is one pass with the k centres as literals and one aggregate of sums; only k
-    rows reach the driver. Empty clusters keep their centre.
+    A round is one pass with the k centres beside each row and one aggregate of sums by
+    centre and position; only k rows reach the driver. Empty clusters keep their centre.
     """
     spark = rows.sparkSession
     centres = {r["label"]: list(r["centroid"]) for r in starts.collect()}
     for _ in range(iterations):
         table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in sorted(centres.items())], "label long, centroid array<double>")
-        found = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(table))
-        best = found.groupBy("id", "v").agg(F.min(F.struct(DISTANCES["sqeuclidean"](F.col("v"), F.col("centroid")).alias("d"), "label")).alias("s"))
-        new = centroids(best.select(F.col("s.label").alias("label"), "v"), "label", "v")
+        near = nearest_centroid(rows.select(F.col(vector).alias("v")), "v", "v", table)
+        new = centroids(near.select(F.col("predicted").alias("label"), F.col("id").alias("v")), "label", "v")
         centres |= {r["label"]: list(r["centroid"]) for r in new.collect()}
     return spark.createDataFrame([(k, [float(x) for x in v]) for k, v in sorted(centres.items())], "label long, centroid array<double>")

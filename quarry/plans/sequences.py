@@ -34,11 +34,11 @@ QUERIES = {
     "ar1": q(lambda x: timeseries.ar1(x, *K), digits=6),
     "align_channels": q(lambda x: timeseries.aligned(x.select("event_type", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 1e6).alias("t"), "value"), "event_type", "t", "value", 1 / 3600.0, 5400.0).groupBy("event_type").agg(F.count("*").alias("n"), F.count("value").alias("have"), F.avg("value").alias("mean")), lambda s, d: table(s, d, "events"), 4),
     "tokens": q(lambda x: x.select("doc_id", F.size(text.tokens(F.col("text"))).alias("n"), F.size(text.sentences(F.col("text"))).alias("sentences"), F.length(text.normalized(F.col("text"))).alias("chars")), _docs),
-    "bigram_counts": q(lambda x: text.terms(x, "doc_id", "text", 2, 2).groupBy("term").agg(F.sum("tf").alias("n")).filter("n >= 20"), _docs),
+    "bigram_counts": q(lambda x: text.terms(x, "doc_id", "text", 2, 2).groupBy("term").agg(F.sum("tf").alias("n")), _docs),
     "vocabulary": q(lambda x: text.vocabulary(x, "text", min_freq=50), _docs),
     "tfidf": q(lambda x: text.tfidf(x, "doc_id", "text"), _docs),
-    "ngram_lm_counts": q(lambda x: text.language_model(x, "text", 2, 1.0).filter("count >= 5"), lambda s, d: table(s, d, "conversations")),
-    "cooccurrence": q(lambda x: text.cooccurrence(x, "doc_id", "text", 2).filter("n >= 30"), _docs),
+    "ngram_lm_counts": q(lambda x: text.language_model(x, "text", 2, 1.0), lambda s, d: table(s, d, "conversations")),
+    "cooccurrence": q(lambda x: text.cooccurrence(x, "doc_id", "text", 2), _docs),
     "encode_padded": q(lambda x: text.encoded(x, "doc_id", "text", text.vocabulary(x, "text")).select("doc_id", F.array_join("ids", " ").alias("ids")), _docs),
     "hashed_terms": q(lambda x: text.hashed_terms(x, "doc_id", "text", 1 << 12).groupBy("doc_id").agg(F.sum("tf").alias("n")), _docs),
 }
@@ -62,13 +62,13 @@ ORACLES = {
     "resample": "SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS ts, count(*) AS n, round(sum(value), 9) AS total, round(avg(value), 9) AS mean FROM events GROUP BY 1, 2",
     "ar1": f"WITH {_D}, p AS (SELECT event_type, v AS x, lead(v) OVER ({_W}) AS y FROM s) SELECT event_type, round(regr_slope(y, x), 6) AS phi, round(regr_intercept(y, x), 6) AS intercept FROM p WHERE y IS NOT NULL GROUP BY 1",
     "tokens": "SELECT doc_id, len(regexp_extract_all(lower(text), '[A-Za-z0-9'']+'))::INTEGER AS n, len(list_filter(string_split_regex(regexp_replace(trim(text, E' \\t\\n\\r'), '([.!?])\\s+', E'\\\\1\\x01', 'g'), '\\x01'), lambda x: x <> ''))::INTEGER AS sentences, length(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))::INTEGER AS chars FROM documents",
-    "bigram_counts": "WITH w AS (SELECT regexp_extract_all(lower(text), '[A-Za-z0-9'']+') AS w FROM documents), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w) SELECT term, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 20",
+    "bigram_counts": "WITH w AS (SELECT regexp_extract_all(lower(text), '[A-Za-z0-9'']+') AS w FROM documents), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w) SELECT term, count(*) AS n FROM b GROUP BY 1",
     "vocabulary": f"WITH {_T}, {_V} SELECT term, n, row_number() OVER (ORDER BY n DESC, term) + 1 AS id FROM v",
     "tfidf": f"""WITH {_T}, t AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), x AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM t JOIN f USING (term))
  SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""",
     "ngram_lm_counts": """WITH w AS (SELECT regexp_extract_all(lower(text), '[A-Za-z0-9'']+') AS w FROM conversations), p AS (SELECT list_concat(['<s>'], list_concat(w, ['</s>'])) AS p FROM w), g AS (SELECT unnest(list_transform(range(1, len(p)), lambda i: {'c': p[i], 't': p[i + 1]})) AS g FROM p),
  n AS (SELECT g.c AS context, g.t AS token, count(*) AS n FROM g GROUP BY 1, 2), s AS (SELECT count(DISTINCT x) + 2 AS v FROM (SELECT unnest(w) AS x FROM w)), t AS (SELECT *, sum(n) OVER (PARTITION BY context) AS total FROM n)
- SELECT context, token, n AS count, CAST(total AS BIGINT) AS context_count, round((n + 1.0) / (total + v), 6)::DOUBLE AS prob FROM t, s WHERE n >= 5""",
-    "cooccurrence": "WITH w AS (SELECT regexp_extract_all(lower(text), '[A-Za-z0-9'']+') AS w FROM documents), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: {'l': w[i], 'r': w[i + 1]})) AS p FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: {'l': w[i], 'r': w[i + 2]})) FROM w) SELECT p.l AS \"left\", p.r AS \"right\", count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 30",
+ SELECT context, token, n AS count, CAST(total AS BIGINT) AS context_count, round((n + 1.0) / (total + v), 6)::DOUBLE AS prob FROM t, s""",
+    "cooccurrence": "WITH w AS (SELECT regexp_extract_all(lower(text), '[A-Za-z0-9'']+') AS w FROM documents), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: {'l': w[i], 'r': w[i + 1]})) AS p FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: {'l': w[i], 'r': w[i + 2]})) FROM w) SELECT p.l AS \"left\", p.r AS \"right\", count(*) AS n FROM p GROUP BY 1, 2",
     "hashed_terms": f"WITH {_T} SELECT doc_id, count(*) AS n FROM u GROUP BY 1",
 }

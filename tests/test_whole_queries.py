@@ -26,6 +26,25 @@ def test_shortest_paths_run_on_all_line_items(spark, data, oracle):
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-6 for n in want)
 
 
+def test_components_of_the_whole_graph(spark, data, oracle):
+    _, rows = oracle("SELECT DISTINCT c_custkey, s_suppkey + 1000000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey")
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for a, b in rows:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    want = {}
+    for x in list(top):
+        want[root(x)] = want.get(root(x), 0) + 1
+    assert {r.component: r.n for r in QUERIES["connected_components"](spark, data).collect()} == want
+
+
 def test_whole_texts_are_encoded(spark, data):
     from quarry.operators import text
 
