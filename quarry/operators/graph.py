@@ -143,3 +143,61 @@ def infer(triples: DataFrame, rules: list[tuple[list[tuple[str, str, str]], tupl
             break
         facts = checkpointed(facts.unionByName(fresh))
     return facts
+
+
+def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """node, component: the greatest node that each node reaches and that reaches it.
+
+    By colours: every node takes the greatest node that reaches it forwards; from that
+    root, nodes of its colour that reach it backwards are its component and leave. Rounds
+    go on over what is left, each written, until nothing is.
+    """
+    left = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())
+    nodes = checkpointed(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    done = None
+    for _ in range(max_rounds):
+        colours = checkpointed(nodes.withColumn("colour", F.col("node")))
+        while True:
+            came = left.join(colours, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("c"))
+            new = checkpointed(colours.join(came, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour")))
+            changed = new.join(colours.withColumnRenamed("colour", "old"), "node").filter("colour <> old").limit(1).count()
+            colours = new
+            if not changed:
+                break
+        # edges within a colour, walked backwards from its root
+        a, b = colours.select(F.col("node").alias("src"), F.col("colour").alias("cs")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
+        inner = checkpointed(left.join(a, "src").join(b, "dst").filter("cs = cd").select("src", "dst"))
+        found = checkpointed(colours.filter("node = colour").select("node", F.col("colour").alias("component")))
+        edge = found
+        while True:
+            back = inner.join(edge, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "component").distinct()
+            edge = checkpointed(back.join(found, "node", "left_anti"))
+            if not edge.limit(1).count():
+                break
+            found = checkpointed(found.unionByName(edge))
+        done = found if done is None else checkpointed(done.unionByName(found))
+        nodes = checkpointed(nodes.join(found, "node", "left_anti"))
+        if not nodes.limit(1).count():
+            return done
+        left = checkpointed(left.join(nodes, F.col("src") == F.col("node"), "left_semi").join(nodes, F.col("dst") == F.col("node"), "left_semi"))
+    raise ValueError("too many rounds")
+
+
+def schedule(tasks: DataFrame, edges: DataFrame, id_col: str = "task", duration: str = "duration") -> DataFrame:
+    """task, start, end: the earliest times of a schedule in which src ends before dst
+    starts. Rounds relax starts until nothing changes; a cycle is an error after as many rounds as tasks."""
+    times = checkpointed(tasks.select(F.col(id_col).alias("task"), F.col(duration).cast("double").alias("d"), F.lit(0.0).alias("start")))
+    for _ in range(tasks.count() + 1):
+        came = edges.join(times, F.col("src") == F.col("task")).groupBy("dst").agg(F.max(F.col("start") + F.col("d")).alias("s"))
+        new = checkpointed(times.join(came, F.col("task") == F.col("dst"), "left").select("task", "d", F.greatest("start", F.coalesce("s", F.lit(0.0))).alias("start")))
+        changed = new.join(times.select("task", F.col("start").alias("old")), "task").filter("start <> old").limit(1).count()
+        times = new
+        if not changed:
+            return times.select("task", "start", (F.col("start") + F.col("d")).alias("end"))
+    raise ValueError("a cycle")
+
+
+def to_dot(edges: DataFrame) -> DataFrame:
+    """line: an edge a line in the DOT language, to be written as text."""
+    name = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return edges.select(F.concat(name("src"), F.lit(" -> "), name("dst"), F.lit(";")).alias("line"))

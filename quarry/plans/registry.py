@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tabular", "measures", "sequences", "features", "signals", "models", "clusterings", "waves", "fits", "numbers", "relations")
+MODULES = ("tabular", "measures", "sequences", "features", "signals", "models", "clusterings", "waves", "fits", "numbers", "relations", "scores")
 
 
 def collect(kind: str) -> dict:
