@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialised, table
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
-#: Words of a block, whatever the table's size: a target is met within about half a block and the rounding of a shard's last one.
+#: Words of a block, whatever the table's size: a target is met within about one.
 BLOCK_WORDS = 16
 #: Fixed primes above any number of blocks in a shard; one steps through the blocks in a seeded order.
 STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -78,8 +78,8 @@ def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, size, source_size, target, taken for each row of documents.
 
     taken counts words with repeats, at most LIMIT times the size. A source's sum comes
-    near its target: quotas count blocks of block_words words, and a shard is cut in
-    equal blocks, as many as it holds of these, rounded, but one at least. Documents
+    near its target: a shard is cut in equal blocks, as many as it holds of
+    block_words words, rounded, but one at least, and quotas count these. Documents
     without words take none; a null source is a source of its own, the last; repeated
     rows are each a document; an empty table gives an empty one. Reruns and other
     partitionings give the same rows.
@@ -87,19 +87,20 @@ def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = documents.sparkSession
     sized = materialised(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy(F.lit(1))
-    aimed = targets(sources).withColumn("block", F.lit(block_words).cast("long")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
-    aimed = aimed.withColumn("seats", F.round(F.sum("source_size").over(every) / F.col("block")).cast("long"))
-    units = aimed.withColumn("share", F.col("target")).withColumn("most", F.ceil(LIMIT * F.col("source_size") / F.col("block")).cast("long"))
-    quotas = materialised(apportioned(units, "seats", [], ["source"]).select("source", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota")), "quotas")
-    named = quotas.withColumn("source", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
-    docs = sized.withColumn("source", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
+    named = lambda x: x.withColumn("source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    aimed = targets(sources).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
+    aimed = materialised(named(aimed), "targets")
     draw = F.xxhash64("doc_id", "size", F.lit(seed))
-    placed = docs.join(named, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("shards")))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.max("source_quota").alias("source_quota"), F.max("block").alias("block"))
-    shards = shards.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long"))
-    shards = shards.withColumn("share", F.col("words").cast("double")).withColumn("most", F.when(F.col("words") > 0, LIMIT * F.col("blocks")).otherwise(0))
-    shared = apportioned(shards, "source_quota", ["source"], ["shard"]).select("source", "shard", "words", "blocks", "quota")
+    placed = named(sized).join(aimed, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("shards")))
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
+    shards = materialised(shards.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / block_words)).cast("long")), "shards")
+    # a source's target counts in blocks of its own, which aren't quite block_words long
+    own = shards.groupBy("source").agg(F.sum("blocks").alias("blocks"))
+    units = aimed.join(own, "source").withColumn("share", F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0)))
+    units = units.withColumn("seats", F.round(F.sum("share").over(Window.partitionBy(F.lit(1)))).cast("long")).withColumn("most", LIMIT * F.col("blocks"))
+    quotas = materialised(apportioned(units, "seats", [], ["source"]).select("source", F.col("quota").alias("source_quota")), "quotas")
+    shares = shards.join(quotas, "source").withColumn("share", F.col("words").cast("double")).withColumn("most", F.when(F.col("words") > 0, LIMIT * F.col("blocks")).otherwise(0))
+    shared = apportioned(shares, "source_quota", ["source"], ["shard"]).select("source", "shard", "words", "blocks", "quota")
     order = Window.partitionBy("source", "shard").orderBy(draw, "doc_id", "size")
     laid = placed.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(shared, ["source", "shard"]).withColumn("_from", F.col("_end") - F.col("size"))
