@@ -82,3 +82,82 @@ def train_test_split(df: DataFrame, id_col: str, test_size: float = 0.25, shuffl
     order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)] if shuffle else [F.col(id_col)]
     n = df.agg(F.ceil(F.count("*") * test_size).alias("_n"))
     return numbered(df, *order).crossJoin(F.broadcast(n)).withColumn("part", F.when(F.col("_row") < F.col("_n"), "test").otherwise("train")).drop("_row", "_n")
+
+
+def shuffle_split(df: DataFrame, id_col: str, n_splits: int = 10, test_share: float = 0.1, train_share: float | None = None, seed: int = 0) -> DataFrame:
+    """split, role and each row's columns: in each split ceil(test_share * n) rows are "test", the next
+    floor(train_share * n) "train" (all others where none is given), in a seeded order of its own."""
+    n = df.count()
+    tests = -int(-test_share * n // 1)
+    trains = n - tests if train_share is None else min(int(train_share * n), n - tests)
+    out = None
+    for k in range(n_splits):
+        rows = numbered(df, F.xxhash64(F.col(id_col), F.lit(seed), F.lit(k)), F.col(id_col))
+        rows = rows.withColumn("split", F.lit(k)).withColumn("role", F.when(F.col("_row") < tests, "test").when(F.col("_row") < tests + trains, "train")).filter("role IS NOT NULL").drop("_row")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def repeated_kfold(df: DataFrame, id_col: str, n_splits: int = 5, n_repeats: int = 10, seed: int = 0) -> DataFrame:
+    """Adds repeat and fold: as many shuffled foldings, each with a seed of its own."""
+    out = None
+    for k in range(n_repeats):
+        rows = kfold(df, id_col, n_splits, True, seed + k).withColumn("repeat", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def leave_one_out(df: DataFrame, id_col: str) -> DataFrame:
+    """Adds fold: each row is its own, by id."""
+    return numbered(df, id_col, name="fold")
+
+
+def learning_curve(df: DataFrame, id_col: str, fit, score, shares: tuple[float, ...] = (0.1, 0.33, 0.55, 0.78, 1.0), n_splits: int = 5, seed: int = 0) -> list[dict]:
+    """Scores by size of the training part: fit(rows) gives a model, score(model, rows) a
+    number. Training rows are the first of a seeded order, so larger parts hold the smaller."""
+    rows, out = kfold(df, id_col, n_splits), []
+    draw = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    for share in shares:
+        trains, tests = [], []
+        for k in range(n_splits):
+            part = rows.filter((F.col("fold") != k) & (draw < share)).drop("fold")
+            model = fit(part)
+            trains.append(score(model, part))
+            tests.append(score(model, rows.filter(F.col("fold") == k).drop("fold")))
+        out.append({"share": share, "train": trains, "test": tests})
+    return out
+
+
+def validation_curve(df: DataFrame, id_col: str, fit, score, values: list, n_splits: int = 5) -> list[dict]:
+    """Scores by value of one parameter: fit(rows, value) gives a model."""
+    rows, out = kfold(df, id_col, n_splits), []
+    for value in values:
+        trains, tests = [], []
+        for k in range(n_splits):
+            part = rows.filter(F.col("fold") != k).drop("fold")
+            model = fit(part, value)
+            trains.append(score(model, part))
+            tests.append(score(model, rows.filter(F.col("fold") == k).drop("fold")))
+        out.append({"value": value, "train": trains, "test": tests})
+    return out
+
+
+def drawn_parameters(choices: dict[str, list], n: int = 10, seed: int = 0) -> list[dict]:
+    """n different settings from lists of values, or all where there are fewer."""
+    import random
+    from itertools import product
+
+    total, r = 1, random.Random(seed)
+    for v in choices.values():
+        total *= len(v)
+    names = sorted(choices)
+    if total <= n:
+        return [dict(zip(names, p)) for p in product(*(choices[k] for k in names))]
+    out = []
+    for at in r.sample(range(total), n):
+        setting = {}
+        for k in names:
+            at, place = divmod(at, len(choices[k]))
+            setting[k] = choices[k][place]
+        out.append(setting)
+    return out

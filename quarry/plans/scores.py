@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import images as I
 from quarry.operators import anomaly as A
+from quarry.operators import comparisons as M
 from quarry.operators import graph, neighbors
 from quarry.operators import learners as L
 from quarry.plans.common import rounded, table
@@ -83,6 +84,10 @@ QUERIES = {
     "bandit_ucb": lambda s, d: rounded(L.ucb(L.arms(_events(s, d), "event_type", "value")), 6), "bandit_softmax": lambda s, d: rounded(L.softmax_policy(L.arms(_events(s, d), "event_type", "value"), 5.0), 6), "bandit_greedy": lambda s, d: rounded(L.epsilon_greedy(L.arms(_events(s, d), "event_type", "value")), 6),
     "linucb": lambda s, d: L.linucb_score(_li(s, d), ["l_discount"], L.linucb(_li(s, d), "l_returnflag", ["l_discount"], "l_tax", 0.5)).groupBy("arm").agg(F.count("*").alias("n")),
     "kalman": lambda s, d: rounded(L.kalman(_events(s, d), "event_type", "event_id", "value"), 5), "pid": lambda s, d: rounded(L.pid(_events(s, d).select("event_type", "event_id", (F.col("value") - 50).alias("e")), "event_type", "event_id", "e", 0.5, 0.01, 0.1).select("event_id", "control"), 5),
+    "label_scores": lambda s, d: rounded(M.label_scores(table(s, d, "labels"), "quality", "toxic"), 6), "kendall_tau": lambda s, d: rounded(M.kendall_tau(_li(s, d).withColumn("q", F.floor(F.col("l_quantity") / 10)), "l_linenumber", "q"), 6),
+    "array_distances": lambda s, d: rounded(_x(s, d).select("vec_id", M.mahalanobis(F.slice("x", 1, 2), F.slice("x", 3, 2), [[2.0, 0.5], [0.5, 1.0]]).alias("mahalanobis"), M.wasserstein("x", F.transform("x", lambda v: 2 * v + 1)).alias("wasserstein")), 6),
+    "adjusted_mi": lambda s, d: s.createDataFrame([(round(M.adjusted_mutual_information(_li(s, d), "l_returnflag", "l_linenumber"), 6),)], "ami double"),
+    "dtw": lambda s, d: rounded(_x(s, d).select("vec_id", M.dtw_distance(F.slice("x", 1, 12), F.slice("x", 13, 12), 4).alias("distance")), 6),
     "scc": _scc, "schedule": _schedule, "dot": lambda s, d: graph.to_dot(table(s, d, "nation").select(F.col("n_name").alias("src"), F.col("n_regionkey").alias("dst"))),
 }
 _K = "l_orderkey, l_linenumber"
@@ -124,6 +129,9 @@ ORACLES = {
     "kalman": """WITH RECURSIVE o AS (SELECT event_type, event_id, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT event_type, event_id, k, v AS m, CAST(1 AS DOUBLE) AS p FROM o WHERE k = 1
  UNION ALL SELECT o.event_type, o.event_id, o.k, r.m + (r.p + 0.01) / (r.p + 1.01) * (o.v - r.m), (r.p + 0.01) / (r.p + 1.01) FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k + 1) SELECT event_type, event_id, round(m, 5) AS estimate, round(p, 5) AS variance FROM r""",
     "pid": "WITH e AS (SELECT event_type, event_id, value - 50 AS e FROM events) SELECT event_id, round(0.5 * e + 0.01 * sum(e) OVER (w ROWS UNBOUNDED PRECEDING) + 0.1 * coalesce(e - lag(e) OVER w, 0), 5) AS control FROM e WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+    "label_scores": "SELECT round(count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) / count(*) FILTER (WHERE quality <> 1), 6)::DOUBLE AS specificity, round(count(*) FILTER (WHERE quality = 1 AND toxic = 1) / count(*) FILTER (WHERE quality = 1 OR toxic = 1), 6)::DOUBLE AS jaccard, round(avg((quality <> toxic)::INT), 6) AS zero_one_loss, count(*) FILTER (WHERE quality <> toxic) AS misses FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
+    "kendall_tau": "WITH c AS (SELECT l_linenumber AS a, floor(l_quantity / 10) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT sum(x.n * y.n) FILTER (WHERE x.b < y.b) AS u, sum(x.n * y.n) FILTER (WHERE x.b > y.b) AS d FROM c x JOIN c y ON x.a < y.a) SELECT round((u - d)::DOUBLE / (u + d)::DOUBLE, 6) AS tau FROM p",
+    "array_distances": f"{_S} SELECT vec_id, round(sqrt(2 * (x[1] - x[3]) ^ 2 + (x[1] - x[3]) * (x[2] - x[4]) + (x[2] - x[4]) ^ 2), 6) AS mahalanobis, round(list_avg(list_transform(list_sort(x), lambda v: abs(v + 1))), 6) AS wasserstein FROM t",
     "scc": "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 200 AS a, o_orderkey % 211 AS b FROM orders WHERE o_custkey % 200 <> o_orderkey % 211), n AS (SELECT o_custkey % 200 AS x FROM orders UNION SELECT o_orderkey % 211 FROM orders), r AS (SELECT x AS a, x AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT p.a AS node, max(p.b) AS component FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY 1) SELECT component, count(*) AS n FROM c GROUP BY 1",
     "schedule": "WITH RECURSIVE t AS (SELECT CAST(n_nationkey AS BIGINT) AS task, CAST(n_regionkey + 1 AS DOUBLE) AS d FROM nation), r AS (SELECT task, d, CAST(0 AS DOUBLE) AS start FROM t WHERE task % 2 = 0 UNION ALL SELECT t.task, t.d, r.start + r.d FROM r JOIN t ON t.task = r.task * 2 + 1) SELECT task, max(start)::DOUBLE AS start, max(start + d)::DOUBLE AS \"end\" FROM r GROUP BY 1",
     "dot": """SELECT concat('"', n_name, '" -> "', n_regionkey, '";') AS line FROM nation""",

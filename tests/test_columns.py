@@ -171,3 +171,66 @@ def test_bootstrap_and_sketch(spark):
     assert s.distinct == pytest.approx(100, rel=0.05) and s.quartiles[1] == pytest.approx(49.5, abs=2)
     with pytest.raises(Exception, match="not in the table"):
         relational.lookup(rows, rows.filter("id > 5").select("id", F.lit(1).alias("w")), "id", "w", on_miss="error").collect()
+
+
+def test_splits(spark):
+    from quarry.operators import folds
+
+    rows = spark.range(103).withColumn("v", F.col("id") * 2)
+    got = folds.shuffle_split(rows, "id", 3, 0.1, 0.5, 7)
+    assert {(r["split"], r.role): r.n for r in got.groupBy("split", "role").agg(F.countDistinct("id").alias("n")).collect()} == {(k, x): n for k in range(3) for x, n in (("test", 11), ("train", 51))}
+    assert folds.repeated_kfold(rows, "id", 5, 2).groupBy("repeat", "fold").count().agg(F.min("count"), F.max("count"), F.count("*")).first()[:] == (20, 21, 10)
+    assert sorted(r.fold for r in folds.leave_one_out(rows, "id").collect()) == list(range(103))
+    curve = folds.learning_curve(rows, "id", lambda p: p.agg(F.avg("v")).first()[0], lambda m, p: -abs(m - p.agg(F.avg("v")).first()[0]), (0.5, 1.0), 2)
+    assert len(curve) == 2 and all(x["train"] == [0.0, 0.0] for x in curve)
+    assert [x["test"] for x in folds.validation_curve(rows, "id", lambda p, v: v, lambda m, p: m, [1, 2], 2)] == [[1, 1], [2, 2]]
+    drawn = folds.drawn_parameters({"a": [1, 2, 3], "b": [4, 5]}, 4, 1)
+    assert len({tuple(sorted(d.items())) for d in drawn}) == 4 and len(folds.drawn_parameters({"a": [1, 2]}, 9)) == 2
+
+
+def test_made_tables(spark):
+    from quarry.sources import made
+
+    b = made.blobs(spark, 900, [[0.0, 0.0], [10.0, -5.0], [3.0, 3.0]], 0.5, 1).groupBy("label").agg(F.avg(F.col("x")[0]).alias("a"), F.avg(F.col("x")[1]).alias("b")).orderBy("label").collect()
+    assert [(round(r.a, 0), round(r.b, 0)) for r in b] == [(0, 0), (10, -5), (3, 3)]
+    m = made.moons(spark, 101).filter("label = 0").agg(F.max(F.abs(F.col("x")[0] * F.col("x")[0] + F.col("x")[1] * F.col("x")[1] - 1))).first()[0]
+    assert m < 1e-9 and made.classification(spark, 50, 4, 2).select(F.size("x")).distinct().collect()[0][0] == 4
+    r = made.regression(spark, 2000, [2.0, -1.0]).select((F.col("y") - 2 * F.col("x")[0] + F.col("x")[1]).alias("d")).agg(F.max(F.abs("d"))).first()[0]
+    assert r < 1e-9
+    s = made.anomaly_series(spark, 400, 200).groupBy("changed").agg(F.avg("v").alias("m")).collect()
+    assert len(s) == 2
+
+
+def test_documents(spark, tmp_path):
+    from quarry.sources import documents
+
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "b"), (8.0, "a")], "v double, k string")
+    for t in (fitted.StandardScaler(["v"]), fitted.KBinsDiscretizer(["v"], 2), fitted.OneHotEncoder(["k"]), fitted.SimpleImputer(["v"]), fitted.QuantileTransform(["v"], 3)):
+        fit, path = t.fit(df), str(tmp_path / type(t).__name__)
+        documents.save_model(fit, path)
+        assert documents.load_model(path).transform(df).collect() == fit.transform(df).collect()
+    with pytest.raises(TypeError):
+        documents.save_model(fitted.OrdinalEncoder(["k"]).fit(df), str(tmp_path / "o"))
+    robot = '<robot><joint name="j" type="revolute"><parent link="a"/><child link="b"/><origin xyz="0 0 1" rpy="0 0 0"/><axis xyz="0 0 1"/><limit lower="-1" upper="2"/></joint></robot>'
+    r = documents.load_urdf(spark, robot).first()
+    assert (r.joint, r.parent, r.child, r.xyz, r.axis, r.lower, r.upper) == ("j", "a", "b", [0.0, 0.0, 1.0], [0.0, 0.0, 1.0], -1.0, 2.0)
+    with pytest.raises(ValueError):
+        documents.load_urdf(spark, "<!DOCTYPE x><robot/>")
+    assert documents.load_world(spark, '{"objects": [{"x": 1, "y": 2, "radius": 0.5}]}').first()[:] == ("circle", 1.0, 2.0, 0.5)
+
+
+def test_alignments_and_checks(spark):
+    from quarry.operators import comparisons as M
+
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 2.0], [0.0, 0.0, 1.0, 2.0]), (2, [5.0], [1.0, 5.0])], "id long, x array<double>, y array<double>")
+    assert one(df, M.dtw_distance("x", "y")) == 0.0 and one(df, M.dtw_distance("x", "y"), 2) == 4.0
+    path = one(df, M.dtw_path("x", "y"))
+    assert path[0] == [0.0, 0.0] and path[-1] == [3.0, 3.0]
+    rows = spark.range(60).select((F.col("id") % 3).alias("a"), (F.col("id") % 3).cast("string").alias("b"), (F.col("id") % 4).alias("c"))
+    assert M.adjusted_mutual_information(rows, "a", "b") == pytest.approx(1.0) and abs(M.adjusted_mutual_information(rows, "a", "c")) < 0.06
+    assert M.kendall_tau(rows, "a", "a").first()[0] == 1.0 and M.check_matrix(rows, ["a", "c"], "b", "c") == 60
+    for columns, label in ((["b"], None), ([], None), (["z"], None)):
+        with pytest.raises(ValueError):
+            M.check_matrix(rows, columns, label)
+    with pytest.raises(ValueError, match="unusable"):
+        M.check_matrix(rows.withColumn("d", F.when(F.col("a") > 0, F.col("a"))), ["d"])
