@@ -67,7 +67,7 @@ class Shingles:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 200_000:
+        if len(known) > 50_000:
             known.clear()
         for w in words:
             if w not in known:

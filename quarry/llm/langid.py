@@ -22,7 +22,7 @@ ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 #: Expected rows of a language in the training sample. All are taken if there are fewer.
 SAMPLE_ROWS = 3000
 #: Characters hashed at a time, which bounds a worker's memory; long texts go in parts.
-PART_CHARS = 1 << 19
+PART_CHARS = 1 << 17
 UNKNOWN = "und"
 
 
