@@ -11,6 +11,15 @@ from quarry.llm.common import materialised, release, table, tasks, text_key, unu
 
 #: A document stays if its language is known with at least this probability.
 LEAST_SCORE = 0.5
+#: Rows that go to a Python worker at a time. Whole texts, some of them long, stand in memory three times over on the way.
+BATCH_ROWS = 1024
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, if they are larger, for the stages that give texts to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the labelled rows of the input themselves. Texts without
     letters, and those whose language is less likely than LEAST_SCORE, go.
     """
+    _small_batches(spark)
     model = langid.train(docs, F.lit(True))
     pred, score = unused(docs, "_pred"), unused(docs, "_score")
     found = langid.identify(docs, model, pred_col=pred, score_col=score)
@@ -29,6 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the least id, a null id last, and the
     least text key. Rows that repeat it go too."""
+    _small_batches(spark)
     found = dedup.near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     least = found.groupBy("class_key").agg(first.alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_least"))
@@ -84,6 +95,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
+    _small_batches(spark)
     return packing.packed_documents(docs)
 
 
