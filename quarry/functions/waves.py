@@ -59,7 +59,8 @@ def normalize_signal(x: Column | str, eps: float = 1e-12) -> Column:
 
 def pre_emphasis(x: Column | str, coef: float = 0.97) -> Column:
     """Each sample less coef times the one before."""
-    return let(_c(x), lambda s: F.transform(s, lambda v, i: F.when(i == 0, v).otherwise(v - coef * F.get(s, i - 1))))
+    # the inner lambda names no outer variable: Spark 4.1 may leave a Python UDF on such an argument unevaluated
+    return let(_c(x), lambda s: F.zip_with(s, F.slice(F.concat(F.array(F.lit(0.0)), s), F.lit(1), F.size(s)), lambda v, before: v - coef * before))
 
 
 def scale_amplitude(x: Column | str, factor: float) -> Column:

@@ -234,3 +234,11 @@ def test_alignments_and_checks(spark):
             M.check_matrix(rows, columns, label)
     with pytest.raises(ValueError, match="unusable"):
         M.check_matrix(rows.withColumn("d", F.when(F.col("a") > 0, F.col("a"))), ["d"])
+
+
+def test_transforms_of_emphasised_signals(spark):
+    x = spark.createDataFrame([(1, [3.0, -1.0, 0.5, 2.0]), (2, []), (3, None), (4, [5.0])], "id long, x array<double>")
+    want = {1: [3.0, -1.0 - 0.97 * 3.0, 0.5 + 0.97, 2.0 - 0.97 * 0.5], 2: [], 3: None, 4: [5.0]}
+    assert {r.id: r.y for r in x.select("id", W.pre_emphasis("x").alias("y")).collect()} == want
+    back = x.select("id", S.de_emphasis(W.pre_emphasis("x")).alias("y"), F.size(S.fft_signal(W.pre_emphasis("x"))["re"]).alias("n")).filter("id in (1, 4)")
+    assert {r.id: (r.y, r.n) for r in back.collect()} == {1: (pytest.approx([3.0, -1.0, 0.5, 2.0]), 4), 4: ([5.0], 1)}
