@@ -5,7 +5,7 @@ character that isn't white space: a space either begins a piece or lies among wh
 space. A text can thus be cut before every such space, each chunk be encoded on its own, and
 the ids be joined. Normalisers of the files work character by character or within
 runs of white space or of marks, which no cut divides. Chunks repeat, so their ids
-are kept; a new one goes through ``Tokenizer.encode_batch``. A text that
+are kept; new ones go through ``Tokenizer.encode_batch_fast``, several as one text. A text that
 holds an added token (they may stand anywhere) is encoded whole.
 """
 
@@ -13,14 +13,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Kept chunks of a worker, about 100 MB; full, the store stays as it is (frequent chunks
 #: come early) until so many calls have passed, then starts anew. Longer chunks aren't kept.
 KEPT, CALLS, KEPT_CHARS = 500_000, 2000, 64
-#: A space before which a text isn't cut, and the places where one is cut else.
-UNCUT, CUT = re.compile(r"\s |\A "), re.compile(r"(?<=\S)(?= )")
+#: New chunks encoded as one text, characters of texts and chunks joined at a time: they bound a worker's memory.
+RUN, PART_CHARS, STEP = 64, 1 << 22, 1 << 18
+#: Stands between chunks that are encoded as one text.
+MARK = "\x01"
+#: A space before which a text isn't cut (nor before one at its start), and the places where one is cut else.
+UNCUT, CUT = re.compile(r" (?<=\s )"), re.compile(r"(?<=\S)(?= )")
 
 
 class ChunkIds:
@@ -33,35 +40,87 @@ class ChunkIds:
         self.library, self.kind, self.calls = Tokenizer.from_file(path), kind, 0
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.later = {}
+        self.code = {2: "H", 4: "I"}[np.dtype(kind).itemsize]
+        # without offsets, where the library can
+        self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        self.mark = np.frombuffer(self._single([f" {MARK}"])[0], kind)
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _single(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks, each a word after a space. Runs of them are one text, with the chunk of a
+        control character between: it gives the same ids everywhere, the last of them nowhere else
+        unless a word holds it too. Where the counts differ, and with white space in a word, one by one."""
+        plain = [w for w in words if w.split() == [w]]
+        runs = [plain[at:at + RUN] for at in range(0, len(plain), RUN)] if len(self.mark) else []
+        found: dict[str, bytes] = {}
+        for run, e in zip(runs, self.encode([" " + f" {MARK} ".join(run) for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            last = np.flatnonzero(ids == self.mark[-1])
+            if len(last) == len(run) - 1:
+                raw, size = ids.tobytes(), ids.itemsize
+                begins, ends = [0, *((last + 1) * size).tolist()], [*((last + 1 - len(self.mark)) * size).tolist(), len(raw)]
+                found.update(zip(run, map(raw.__getitem__, map(slice, begins, ends))))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._single([" " + w for w in rest])))
+        return [found[w] for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.calls += 1
         if self.calls % CALLS == 0:
             self.later = {}
-        cut, words = [], set()
+        out, part, chars = [], [], 0
         for text in texts:
-            if any(a in text for a in self.added):
-                cut.append(text)
-                continue
-            # a later chunk is named without the space that it begins with
-            chunks = text.split(" ") if not UNCUT.search(text) else [c[k > 0:] for k, c in enumerate(CUT.split(text))]
-            head = chunks.pop(0)
-            words.update(chunks)
-            cut.append((head, chunks))
-        later = self.later
-        new = [c for c in words if c not in later]
+            part.append(text)
+            chars += len(text)
+            if chars >= PART_CHARS:
+                out += self._part(part)
+                part, chars = [], 0
+        return out + self._part(part) if part else out
+
+    def _part(self, texts: list[str]) -> list[bytes]:
+        # rows of chunks: of texts cut at every space, of those cut at some, and of those not cut
+        plain, some = [], []
+        for k, text in enumerate(texts):
+            whole = any(a in text for a in self.added)
+            (some if whole or text.startswith(" ") or UNCUT.search(text) else plain).append((k, whole))
+        cut = pc.split_pattern(pa.array([texts[k] for k, _ in plain], pa.large_string()), " ")
+        # a later chunk is named without the space that it begins with
+        other = [[texts[k]] if whole else [c[j > 0:] for j, c in enumerate(CUT.split(texts[k]))] for k, whole in some]
+        flat = pa.concat_arrays([cut.flatten(), pa.array([c for row in other for c in row], pa.large_string())])
+        counts = np.concatenate([np.diff(cut.offsets.to_numpy()), np.array([len(row) for row in other], np.int64)])
+        starts = np.cumsum(counts) - counts
+        later = np.ones(len(flat), bool)
+        later[starts] = False
+        named = flat.filter(pa.array(later)).dictionary_encode()
+        words, store = named.dictionary.to_pylist(), self.later
+        pieces = list(map(store.get, words))
+        missing = [k for k, x in enumerate(pieces) if x is None]
+        full = len(store) > KEPT
+        for k, ids in zip(missing, self._encoded([words[k] for k in missing])):
+            pieces[k] = ids
+            if not full and len(words[k]) <= KEPT_CHARS:
+                store[words[k]] = ids
         # the first chunk of a text has no space before it
-        heads = [c if isinstance(c, str) else c[0] for c in cut]
-        ids = self._encoded([*heads, *map(" ".__add__, new)])
-        later.update(zip(new, ids[len(heads):]))
-        out = [head if isinstance(c, str) else head + b"".join(map(later.__getitem__, c[1])) for head, c in zip(ids, cut)]
-        full = len(later) > KEPT
-        for c in new:
-            if full or len(c) > KEPT_CHARS:
-                del later[c]
+        heads = self._single(flat.take(pa.array(starts)).to_pylist())
+        chosen = np.empty(len(flat), np.int64)
+        chosen[later] = named.indices.to_numpy()
+        chosen[starts] = len(pieces) + np.arange(len(heads))
+        pieces += heads
+        ids = np.frombuffer(b"".join(pieces), self.kind)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // ids.itemsize
+        places = np.cumsum(sizes) - sizes
+        lengths = sizes[chosen]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        joined = np.empty(int(ends[-1]), self.kind)
+        for lo in range(0, len(chosen), STEP):
+            hi = min(lo + STEP, len(chosen))
+            at, n = ends[lo:hi], lengths[lo:hi]
+            joined[ends[lo]:ends[hi]] = ids[np.arange(ends[lo], ends[hi]) + np.repeat(places[chosen[lo:hi]] - at, n)]
+        out: list[bytes] = [b""] * len(texts)
+        for (k, _), first, n in zip([*plain, *some], starts.tolist(), counts.tolist()):
+            out[k] = joined[ends[first]:ends[first + n]].tobytes()
         return out
 
 

@@ -106,3 +106,24 @@ def test_full_stores_of_chunks_stay_bounded(monkeypatch):
     texts = [" ".join(f"w{k}{j}" for j in range(4)) for k in range(9)]
     want = tokens.ChunkIds(P.path("byte_bpe_50k.json"))(texts)
     assert [chunks([t])[0] for t in texts] == want and len(chunks.later) <= 9
+
+
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "<u4"), ("word_bpe_49k.json", "<u2")])
+def test_new_chunks_are_encoded_together(name, kind):
+    P, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers").Tokenizer
+    import random
+
+    from quarry.llm import tokens
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab Z9'., \n\u00a0\u0301\u00a8\u4e2d\x01") for _ in range(draw.randint(0, 60))) for _ in range(2000)] + ["", " ", "a ", " a", "\x01 \x01"]
+    chunks, calls = tokens.ChunkIds(P.path(name), kind), []
+    encode = chunks.encode
+    chunks.encode = lambda given, **more: calls.append(len(given)) or encode(given, **more)
+    want = [np.array(e.ids, kind).tobytes() for e in library.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+    assert chunks(texts) == want
+    calls.clear()
+    # 640 words not seen before: runs of 64, nothing one by one but the first chunk
+    words = [f"word{k}x" for k in range(641)]
+    assert chunks([" ".join(words)]) == [np.array(library.from_file(P.path(name)).encode(" ".join(words), add_special_tokens=False).ids, kind).tobytes()]
+    assert sum(calls) <= 12
