@@ -101,7 +101,7 @@ def cut_pieces(texts: DataFrame, encode_with, *, id_col: str = "doc_id", text_co
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, shard, ranks = encode_with(), TaskContext.get().partitionId(), {}
-        for part in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
+        for part in (b.slice(low, 1024) for b in batches for low in range(0, b.num_rows, 1024)):
             rows = []
             for name, raw in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()])):
                 ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
