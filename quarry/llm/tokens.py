@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Kept chunks of a worker, about 100 MB; full, the store stays as it is (frequent chunks
+#: Kept chunks of a worker, about 20 MB, which idle workers of later stages hold on to; full, the store stays as it is (frequent chunks
 #: come early) until so many calls have passed, then starts anew. Longer chunks aren't kept.
-KEPT, CALLS, KEPT_CHARS = 500_000, 2000, 64
+KEPT, CALLS, KEPT_CHARS = 100_000, 2000, 64
 #: New chunks encoded as one text, characters of texts and chunks joined at a time: they bound a worker's memory.
 RUN, PART_CHARS, STEP = 64, 1 << 22, 1 << 18
 #: Stands between chunks that are encoded as one text.

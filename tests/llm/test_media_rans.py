@@ -127,3 +127,15 @@ def test_new_chunks_are_encoded_together(name, kind):
     words = [f"word{k}x" for k in range(641)]
     assert chunks([" ".join(words)]) == [np.array(library.from_file(P.path(name)).encode(" ".join(words), add_special_tokens=False).ids, kind).tobytes()]
     assert sum(calls) <= 12
+
+
+def test_kept_chunks_take_little_memory():
+    P = pytest.importorskip("public_tokenizers")
+    import sys
+
+    from quarry.llm import tokens
+
+    chunks = tokens.ChunkIds(P.path("byte_bpe_50k.json"))
+    for at in range(0, 300_000, 30_000):
+        chunks([" ".join(f"word{k}x" for k in range(at, at + 30_000))])
+    assert sys.getsizeof(chunks.later) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in chunks.later.items()) < 30e6
