@@ -35,6 +35,8 @@ LOW = np.uint64(1 << 31)
 BLOCK_IDS, SEGMENT_IDS = 1 << 18, 1 << 21
 HEAD, BLOCK_HEAD = struct.Struct("<4sBIIIq"), struct.Struct("<IIIII")
 END_ID = 2
+#: Chunks whose ids a worker keeps, about 80 MB.
+KEPT_CHUNKS = 400_000
 
 
 class CorruptSegment(ValueError):
@@ -269,7 +271,7 @@ def op7_rans(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     def encoder():
         from quarry.llm.tokens import chunk_ids
 
-        return chunk_ids(tokenizer, "<u2")
+        return chunk_ids(tokenizer, "<u2", KEPT_CHUNKS)
 
     write_ids(table(spark, sf_dir, "documents"), path, encoder)
     return read_ids(spark, path)

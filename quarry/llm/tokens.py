@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Kept chunks of a worker, about 20 MB, which idle workers of later stages hold on to; full, the store stays as it is (frequent chunks
+#: Kept chunks of a worker (where its maker names no number), about 20 MB, which idle workers of later stages hold on to; full, the store stays as it is (frequent chunks
 #: come early) until so many calls have passed, then starts anew. Longer chunks aren't kept.
 KEPT, CALLS, KEPT_CHARS = 100_000, 2000, 64
 #: New chunks encoded as one text, characters of texts and chunks joined at a time: they bound a worker's memory.
-RUN, PART_CHARS, STEP = 64, 1 << 22, 1 << 18
+RUN, PART_CHARS, STEP = 256, 1 << 22, 1 << 18
 #: Stands between chunks that are encoded as one text.
 MARK = "\x01"
 #: A space before which a text isn't cut (nor before one at its start), and the places where one is cut else.
@@ -33,13 +33,13 @@ UNCUT, CUT = re.compile(r" (?<=\s )"), re.compile(r"(?<=\S)(?= )")
 class ChunkIds:
     """Ids of ``Tokenizer.encode(text, add_special_tokens=False)`` for many texts, as bytes of a numpy type."""
 
-    def __init__(self, path: str, kind: str = "<u4"):
+    def __init__(self, path: str, kind: str = "<u4", kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library, self.kind, self.calls = Tokenizer.from_file(path), kind, 0
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.later = {}
+        self.later, self.kept = {}, KEPT if kept is None else kept
         self.code = {2: "H", 4: "I"}[np.dtype(kind).itemsize]
         # without offsets, where the library can
         self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
@@ -51,8 +51,9 @@ class ChunkIds:
     def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of chunks, each a word after a space. Runs of them are one text, with the chunk of a
         control character between: it gives the same ids everywhere, the last of them nowhere else
-        unless a word holds it too. Where the counts differ, and with white space in a word, one by one."""
-        plain = [w for w in words if w.split() == [w]]
+        unless a word holds it too. A word that ends with white space (others may hold some) or that holds
+        the control character is encoded by itself, as are those of a run whose counts differ."""
+        plain = [w for w in words if w and not w[-1].isspace() and MARK not in w]
         runs = [plain[at:at + RUN] for at in range(0, len(plain), RUN)] if len(self.mark) else []
         found: dict[str, bytes] = {}
         for run, e in zip(runs, self.encode([" " + f" {MARK} ".join(run) for run in runs], add_special_tokens=False)):
@@ -94,10 +95,10 @@ class ChunkIds:
         later = np.ones(len(flat), bool)
         later[starts] = False
         named = flat.filter(pa.array(later)).dictionary_encode()
-        words, store = named.dictionary.to_pylist(), self.later
+        words, store = named.dictionary.to_numpy(zero_copy_only=False).tolist(), self.later
         pieces = list(map(store.get, words))
         missing = [k for k, x in enumerate(pieces) if x is None]
-        full = len(store) > KEPT
+        full = len(store) > self.kept
         for k, ids in zip(missing, self._encoded([words[k] for k in missing])):
             pieces[k] = ids
             if not full and len(words[k]) <= KEPT_CHARS:
@@ -124,11 +125,11 @@ class ChunkIds:
         return out
 
 
-_made: dict[tuple[str, str], ChunkIds] = {}
+_made: dict[tuple[str, str, int | None], ChunkIds] = {}
 
 
-def chunk_ids(path: str, kind: str = "<u4") -> ChunkIds:
-    """One for each worker process, file and type."""
-    if (path, kind) not in _made:
-        _made[path, kind] = ChunkIds(path, kind)
-    return _made[path, kind]
+def chunk_ids(path: str, kind: str = "<u4", kept: int | None = None) -> ChunkIds:
+    """One for each worker process, file, type and number of kept chunks."""
+    if (path, kind, kept) not in _made:
+        _made[path, kind, kept] = ChunkIds(path, kind, kept)
+    return _made[path, kind, kept]

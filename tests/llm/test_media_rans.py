@@ -139,3 +139,41 @@ def test_kept_chunks_take_little_memory():
     for at in range(0, 300_000, 30_000):
         chunks([" ".join(f"word{k}x" for k in range(at, at + 30_000))])
     assert sys.getsizeof(chunks.later) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in chunks.later.items()) < 30e6
+
+
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "<u4"), ("word_bpe_49k.json", "<u2")])
+def test_new_chunks_with_white_space_are_encoded_together(name, kind):
+    P, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers").Tokenizer
+    from quarry.llm import tokens
+
+    chunks, calls = tokens.ChunkIds(P.path(name), kind), []
+    encode = chunks.encode
+    chunks.encode = lambda given, **more: calls.append(len(given)) or encode(given, **more)
+    # lines that end within a chunk, white space before a space, a chunk of nothing but white space at the end, the mark
+    text = " ".join(f"end{k}.\nWord{k} a\n\t  b{k}" for k in range(700)) + " a\x01b \x01\n\x01 \n "
+    assert chunks([text]) == [np.array(library.from_file(P.path(name)).encode(text, add_special_tokens=False).ids, kind).tobytes()]
+    assert sum(calls) <= 15
+
+
+def test_op7_keeps_chunks_beyond_the_default(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    import sys
+
+    from quarry.llm import tokens
+
+    made = {}
+    monkeypatch.setattr(tokens, "_made", made)
+    monkeypatch.setattr(rans, "table", lambda *_: None)
+    monkeypatch.setattr(rans, "shared_dir", lambda *_: "")
+    monkeypatch.setattr(rans, "read_ids", lambda *_: None)
+    monkeypatch.setattr(rans, "write_ids", lambda texts, path, encoder: encoder())
+    rans.op7_rans(None, "")
+    (chunks,) = made.values()
+    for at in range(0, 600_000, 30_000):
+        chunks([" ".join(f"word{k}x" for k in range(at, at + 30_000))])
+    calls, encode = [], chunks.encode
+    chunks.encode = lambda given, **more: calls.append(len(given)) or encode(given, **more)
+    chunks([" ".join(f"word{k}x" for k in range(300_000))])
+    # only the first chunk and a run of those that began a text are encoded, and the store stays bounded
+    assert sum(calls) == 2
+    assert sys.getsizeof(chunks.later) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in chunks.later.items()) < 100e6
