@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.state import checkpointed
+
 
 class HBOS:
     """Histograms of equal width by column: the score is the sum of minus the logarithms of the densities; values beyond a histogram count as in an empty bin."""
@@ -135,7 +137,10 @@ def grubbs(df: DataFrame, column: str) -> DataFrame:
 
 def local_outlier_factor(near: DataFrame) -> DataFrame:
     """id, lof from a table of query, id, distance, rank that holds every row's k nearest
-    rows (neighbors.neighbors): the mean density of a row's neighbours over its own."""
+    rows (neighbors.neighbors): the mean density of a row's neighbours over its own.
+
+    near is read four times, so it is kept: finding the neighbours is the work."""
+    near = checkpointed(near)
     reach = near.groupBy("query").agg(F.max("distance").alias("k_distance")).select(F.col("query").alias("id"), "k_distance")
     density = near.join(reach, "id").groupBy("query").agg((F.count("*") / F.greatest(F.sum(F.greatest("distance", "k_distance")), F.lit(1e-12))).alias("density"))
     other = density.select(F.col("query").alias("id"), F.col("density").alias("theirs"))
