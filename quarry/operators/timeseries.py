@@ -100,19 +100,33 @@ def aligned(df: DataFrame, channel: str, t: str, value: str, rate: float, max_ga
     """channel, t, value on one grid of all channels, linear between the samples around a
     grid time; null where these are further apart than max_gap.
 
-    The grid spans the times that all channels cover. Samples and grid times are one
-    union a channel, and windows find the samples before and after: no range join.
+    The grid spans the times that all channels cover. Of the samples between two grid
+    times only the first and the last count, so an aggregate keeps these (of equal times
+    the least and the greatest value) and windows run over grid times only.
     """
-    spans = df.groupBy(channel).agg(F.min(t).alias("a"), F.max(t).alias("b")).agg(F.max("a").alias("a"), F.min("b").alias("b"))
-    steps = spans.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("b") - F.col("a")) * rate + 1e-9).cast("int"))).alias("k"), "a").select((F.col("a") + F.col("k") / rate).alias("t"))
-    grid = df.select(channel).distinct().crossJoin(F.broadcast(steps))
-    rows = df.select(channel, F.col(t).alias("t"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("s")).unionByName(grid.select(channel, "t", F.lit(None).cast("struct<t:double,v:double>").alias("s")))
-    before = F.last("s", ignorenulls=True).over(Window.partitionBy(channel).orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("s", ignorenulls=True).over(Window.partitionBy(channel).orderBy("t").rangeBetween(0, Window.unboundedFollowing))
-    near = rows.withColumn("_b", before).withColumn("_c", after).filter(F.col("s").isNull())
+    at = F.col(t).cast("double")
+    span = df.groupBy(channel).agg(F.min(at).alias("a"), F.max(at).alias("b")).agg(F.max("a").alias("a"), F.min("b").alias("b")).first()
+    a, top = span["a"], -1 if span["a"] is None or span["b"] < span["a"] else int((span["b"] - span["a"]) * rate + 1e-9)
+    start = F.lit(a).cast("double")
+    time = lambda k: start + k / rate
+    steps = df.sparkSession.range(top + 1).select(F.col("id").alias("k"))
+    grid = df.select(F.col(channel).alias("_channel")).distinct().crossJoin(steps)
+    # the last grid time not after a sample: rounding may put a quotient one off
+    near = df.filter(at.isNotNull()).select(F.col(channel).alias("_channel"), F.struct(at.alias("t"), F.col(value).alias("v")).alias("s"), F.greatest(F.lit(-2), F.least(F.lit(top + 1), F.floor((at - start) * rate))).cast("long").alias("_k"))
+    here = F.col("s.t")
+    low = F.when(time(F.col("_k")) > here, F.col("_k") - 1).when(time(F.col("_k") + 1) <= here, F.col("_k") + 1).otherwise(F.col("_k"))
+    cells = near.withColumn("_low", low).select("_channel", "s", F.least("_low", F.lit(top)).alias("low"), F.greatest(F.lit(0), F.when(time(F.col("_low")) == here, F.col("_low")).otherwise(F.col("_low") + 1)).alias("high"))
+    ends = cells.groupBy("_channel", "low", "high").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    none = F.lit(None).cast(ends.schema["first"].dataType)
+    rows = ends.filter(F.col("low") >= 0).select("_channel", F.col("low").alias("k"), none.alias("b"), F.col("first").alias("c"), F.lit(False).alias("g"))
+    rows = rows.unionByName(ends.filter(F.col("high") <= top).select("_channel", F.col("high").alias("k"), F.col("last").alias("b"), none.alias("c"), F.lit(False).alias("g")))
+    rows = rows.unionByName(grid.select("_channel", "k", none.alias("b"), none.alias("c"), F.lit(True).alias("g"))).groupBy("_channel", "k").agg(F.max("b").alias("b"), F.min("c").alias("c"), F.max("g").alias("g")).filter("g")
+    before = F.last("b", ignorenulls=True).over(Window.partitionBy("_channel").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("c", ignorenulls=True).over(Window.partitionBy("_channel").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.select("_channel", time(F.col("k")).alias("_t"), before.alias("_b"), after.alias("_c"))
     gap = F.col("_c.t") - F.col("_b.t")
-    between = F.when(gap == 0, F.col("_b.v")).otherwise(F.col("_b.v") + (F.col("_c.v") - F.col("_b.v")) * F.try_divide(F.col("t") - F.col("_b.t"), gap))
-    return near.select(channel, "t", F.when(gap <= max_gap, between).alias("value"))
+    between = F.when(gap == 0, F.col("_b.v")).otherwise(F.col("_b.v") + (F.col("_c.v") - F.col("_b.v")) * F.try_divide(F.col("_t") - F.col("_b.t"), gap))
+    return found.select(F.col("_channel").alias(channel), F.col("_t").alias("t"), F.when(gap <= max_gap, between).alias("value"))
 
 
 def forecast_errors(df: DataFrame, key: str, actual: str, predicted: str) -> DataFrame:
