@@ -52,8 +52,9 @@ def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
     counts = d.groupBy("v").agg(F.count_if(F.col("d") > 0).alias("a"), F.count("*").alias("t"))
     ranks = counts.withColumn("rank", F.sum("t").over(Window.orderBy("v")) - (F.col("t") - 1) / 2.0)
     s = ranks.agg(F.sum(F.col("rank") * F.col("a")).alias("plus"), F.sum(F.col("rank") * (F.col("t") - F.col("a"))).alias("minus"), F.sum("t").alias("n"))
-    w = F.least("plus", "minus")
-    return s.select(w.alias("w"), "n", F.try_divide(w - F.col("n") * (F.col("n") + 1) / 4.0, F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0)).alias("z"))
+    # the cube of n is beyond a long from 1.7 million rows on
+    w, n = F.least("plus", "minus"), F.col("n").cast("double")
+    return s.select(w.alias("w"), "n", F.try_divide(w - n * (n + 1) / 4.0, F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0)).alias("z"))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
