@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.missing import present
+from quarry.functions.quantiles import exact_quantiles
 
 
 class NotFitted(ValueError):
@@ -113,8 +114,8 @@ class RobustScaler(_Affine):
         self.points = [low / 100, 0.5, high / 100]
 
     def learn(self, df):
-        found = _one_row(df, self.columns, q=lambda v: F.percentile(v, F.array(*map(F.lit, self.points))))
-        return {c: (float(x["q"][1]), float(x["q"][2] - x["q"][0]) or 1.0) if x["q"] else (0.0, 1.0) for c, x in found.items()}
+        found = exact_quantiles(df, {c: (present(df, c), self.points) for c in self.columns})
+        return {c: (float(q[1]), float(q[2] - q[0]) or 1.0) if q[0] is not None else (0.0, 1.0) for c, q in found.items()}
 
 
 class SimpleImputer(Transformer):
@@ -129,7 +130,9 @@ class SimpleImputer(Transformer):
     def learn(self, df):
         if self.strategy == "constant":
             return dict.fromkeys(self.columns, self.fill)
-        f = {"mean": F.avg, "median": lambda v: F.percentile(v, F.lit(0.5)), "most_frequent": lambda v: F.mode(v, True)}[self.strategy]
+        if self.strategy == "median":
+            return {c: 0.0 if q[0] is None else q[0] for c, q in exact_quantiles(df, {c: (present(df, c), [0.5]) for c in self.columns}).items()}
+        f = {"mean": F.avg, "most_frequent": lambda v: F.mode(v, True)}[self.strategy]
         return {c: 0.0 if x["v"] is None else x["v"] for c, x in _one_row(df, self.columns, v=f).items()}
 
     def apply(self, df):
@@ -150,9 +153,9 @@ class KBinsDiscretizer(Transformer):
         if self.strategy == "uniform":
             found = _one_row(df, self.columns, a=F.min, b=F.max)
             return {c: [x["a"] + p * (x["b"] - x["a"]) for p in inner] if x["a"] is not None else [] for c, x in found.items()}
-        found = _one_row(df, self.columns, q=lambda v: F.percentile(v, F.array(*map(F.lit, inner))))
+        found = exact_quantiles(df, {c: (present(df, c), inner) for c in self.columns})
         # equal edges would leave a bin without width
-        return {c: list(accumulate(x["q"] or [], lambda a, b: b if b > a else a + 1e-12)) for c, x in found.items()}
+        return {c: list(accumulate([] if q[0] is None else q, lambda a, b: b if b > a else a + 1e-12)) for c, q in found.items()}
 
     def apply(self, df):
         count = lambda c: sum((F.when(F.col(c) >= F.lit(float(e)), 1).otherwise(0) for e in self.state[c]), F.lit(0))

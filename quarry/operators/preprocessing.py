@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.missing import present
+from quarry.functions.quantiles import as_literals, exact_quantiles
 
 
 def _with_stats(df: DataFrame, names: list[str], **stats) -> DataFrame:
@@ -44,16 +45,19 @@ def maxabs_scale(df: DataFrame, names: list[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, names: list[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
     """(x - median) / quantile range, exact quantiles."""
-    rows = _with_stats(df, names, q=lambda v: F.percentile(v, F.array(F.lit(low), F.lit(0.5), F.lit(high))))
-    q = lambda c, k: F.col(f"_q_{c}")[k]
-    return _replace(df, rows, names, lambda c: (F.col(c) - q(c, 1)) / F.when(q(c, 2) > q(c, 0), q(c, 2) - q(c, 0)).otherwise(1.0))
+    found = exact_quantiles(df, {c: (present(df, c), [low, 0.5, high]) for c in names})
+    q = lambda c, k: as_literals(found[c])[k]
+    return _replace(df, df, names, lambda c: (F.col(c) - q(c, 1)) / F.when(q(c, 2) > q(c, 0), q(c, 2) - q(c, 0)).otherwise(1.0))
 
 
 def impute(df: DataFrame, names: list[str], strategy: str = "mean", fill=None) -> DataFrame:
     """Missing values by "mean", "median", "most_frequent" (ties: the least value) or "constant"; a column without values becomes 0."""
     if strategy == "constant":
         return df.select(*(F.coalesce(present(df, c), F.lit(fill)).alias(c) if c in names else F.col(c) for c in df.columns))
-    f = {"mean": F.avg, "median": lambda v: F.percentile(v, F.lit(0.5)), "most_frequent": lambda v: F.mode(v, True)}[strategy]
+    if strategy == "median":
+        found = exact_quantiles(df, {c: (present(df, c), [0.5]) for c in names})
+        return _replace(df, df, names, lambda c: F.coalesce(present(df, c), F.lit(found[c][0]).cast("double"), F.lit(0.0)))
+    f = {"mean": F.avg, "most_frequent": lambda v: F.mode(v, True)}[strategy]
     rows = _with_stats(df, names, v=f)
     zero = {c: F.lit(0.0) if strategy != "most_frequent" or dict(df.dtypes)[c] != "string" else F.lit("") for c in names}
     return _replace(df, rows, names, lambda c: F.coalesce(present(df, c), F.col(f"_v_{c}"), zero[c]))
@@ -88,7 +92,8 @@ def bin_edges(df: DataFrame, name: str, bins: int, strategy: str = "quantile") -
     """One row: edges, an array of bins + 1 numbers."""
     v = present(df, name)
     if strategy == "quantile":
-        return df.agg(F.percentile(v, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("edges"))
+        edges = exact_quantiles(df, {name: (v, [k / bins for k in range(bins + 1)])})[name]
+        return df.sparkSession.range(1).select((F.lit(None).cast("array<double>") if edges[0] is None else as_literals(edges)).alias("edges"))
     ends = df.agg(F.min(v).alias("a"), F.max(v).alias("b"))
     return ends.select(F.array(*(F.col("a") + (F.col("b") - F.col("a")) * k / bins for k in range(bins + 1))).alias("edges"))
 

@@ -8,36 +8,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.missing import columns, is_numeric, present
+from quarry.functions.quantiles import as_literals, exact_quantiles
 
 
 def numeric_profile(df: DataFrame, names: list[str] | None = None, outlier: float = 1.5) -> DataFrame:
     """A row a numeric column: counts, moments, exact quartiles and outliers.
 
-    Two passes without a shuffle of rows: one aggregate over all columns, then a count
-    of the values beyond the quartile fences. Where the quartiles coincide, every other
+    Passes without a shuffle of rows: quartiles by bounded sketches and counts, one
+    aggregate over all columns, a count of the values beyond the quartile fences. Where the quartiles coincide, every other
     value is an outlier. Moments are those of the population.
     """
     names = names or columns(df, "numeric")
     if not names:
         raise ValueError("there is no numeric column")
+    quartiles = exact_quantiles(df, {c: (present(df, c), [0.25, 0.5, 0.75]) for c in names})
     aggs = []
     for k, name in enumerate(names):
         c = present(df, name)
         aggs += [
             F.count("*").alias(f"n{k}"), F.count(c).alias(f"have{k}"), F.avg(c).alias(f"mean{k}"), F.stddev_pop(c).alias(f"std{k}"), F.min(c).alias(f"min{k}"), F.max(c).alias(f"max{k}"),
-            F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}"),
         ]
     stats = df.agg(*aggs)
-    narrow = df.select(*(present(df, c).alias(f"v{k}") for k, c in enumerate(names))).crossJoin(F.broadcast(stats.select(*(f"q{k}" for k in range(len(names))))))
+    narrow = df.select(*(present(df, c).alias(f"v{k}") for k, c in enumerate(names)))
     counts = []
     for k in range(len(names)):
-        v, q = F.col(f"v{k}"), F.col(f"q{k}")
+        v, q = F.col(f"v{k}"), as_literals(quartiles[names[k]])
         reach = outlier * (q[2] - q[0])
         counts.append(F.count_if(F.when(q[2] == q[0], v != q[0]).otherwise((v < q[0] - reach) | (v > q[2] + reach))).alias(f"out{k}"))
     whole = stats.crossJoin(narrow.agg(*counts))
     rows = F.array(*(F.struct(
         F.lit(name).alias("column"), F.col(f"n{k}").alias("n_rows"), (F.col(f"n{k}") - F.col(f"have{k}")).alias("missing"), F.col(f"mean{k}").alias("mean"), F.col(f"std{k}").alias("std"),
-        F.col(f"min{k}").alias("min"), F.col(f"max{k}").alias("max"), F.col(f"q{k}")[1].alias("median"), F.col(f"q{k}")[0].alias("q25"), F.col(f"q{k}")[2].alias("q75"), F.col(f"out{k}").alias("outlier_count"),
+        F.col(f"min{k}").alias("min"), F.col(f"max{k}").alias("max"), *(as_literals(quartiles[name])[j].alias(a) for j, a in ((1, "median"), (0, "q25"), (2, "q75"))), F.col(f"out{k}").alias("outlier_count"),
     ) for k, name in enumerate(names)))
     return whole.select(F.explode(rows).alias("r")).select("r.*")
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.quantiles import as_literals, exact_quantiles
 from quarry.functions.ranks import average_ranks
 
 
@@ -88,20 +89,20 @@ def f_oneway(df: DataFrame, value: str, group: str) -> DataFrame:
 def outliers(df: DataFrame, value: str, method: str = "iqr", limit: float | None = None) -> DataFrame:
     """Rows whose value is an outlier, by "zscore", "mod_zscore" or "iqr"; score is added.
 
-    Bounds are one row, broadcast; rows aren't shuffled.
+    Bounds are numbers; rows aren't shuffled.
     """
     v = F.col(value).cast("double")
     if method == "zscore":
         b = df.agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
         return df.crossJoin(F.broadcast(b)).withColumn("score", F.abs(v - F.col("_m")) / F.greatest("_s", F.lit(1e-12))).drop("_m", "_s").filter(F.col("score") > (limit or 3.0))
     if method == "mod_zscore":
-        m = df.agg(F.percentile(v, F.lit(0.5)).alias("_m"))
-        mad = df.crossJoin(F.broadcast(m)).agg(F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).alias("_d"), F.first("_m").alias("_m"))
-        return df.crossJoin(F.broadcast(mad)).withColumn("score", 0.6745 * F.abs(v - F.col("_m")) / F.greatest("_d", F.lit(1e-12))).drop("_m", "_d").filter(F.col("score") > (limit or 3.5))
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    k, lo, hi = limit or 1.5, F.col("_q")[0], F.col("_q")[1]
-    out = df.crossJoin(F.broadcast(q)).withColumn("score", F.greatest(lo - v, v - hi))
-    return out.filter((v < lo - k * (hi - lo)) | (v > hi + k * (hi - lo))).drop("_q")
+        m = as_literals(exact_quantiles(df, {"v": (v, [0.5])})["v"])[0]
+        mad = as_literals(exact_quantiles(df, {"v": (F.abs(v - m), [0.5])})["v"])[0]
+        return df.withColumn("score", 0.6745 * F.abs(v - m) / F.greatest(mad, F.lit(1e-12))).filter(F.col("score") > (limit or 3.5))
+    q = as_literals(exact_quantiles(df, {"v": (v, [0.25, 0.75])})["v"])
+    k, lo, hi = limit or 1.5, q[0], q[1]
+    out = df.withColumn("score", F.greatest(lo - v, v - hi))
+    return out.filter((v < lo - k * (hi - lo)) | (v > hi + k * (hi - lo)))
 
 
 def ks_normal(df: DataFrame, value: str, mean: float, std: float) -> DataFrame:
