@@ -96,12 +96,14 @@ def quaternion_to_matrix(q) -> Column:
 
 
 def matrix_to_quaternion(m) -> Column:
-    """w, x, y, z with w of 0 or more."""
+    """w, x, y, z with w of 0 or more; by the largest of the four, so that small ones keep their digits."""
     def found(r):
-        half = lambda v: F.sqrt(F.greatest(v, F.lit(0.0))) / 2
-        sign = lambda s, v: F.when(s < 0, -v).otherwise(v)
-        x, y, z = half(1 + r[0][0] - r[1][1] - r[2][2]), half(1 - r[0][0] + r[1][1] - r[2][2]), half(1 - r[0][0] - r[1][1] + r[2][2])
-        return _v(half(1 + r[0][0] + r[1][1] + r[2][2]), sign(r[2][1] - r[1][2], x), sign(r[0][2] - r[2][0], y), sign(r[1][0] - r[0][1], z))
+        # each row is four times the quaternion times one of its parts
+        rows = F.array(
+            _v(1 + r[0][0] + r[1][1] + r[2][2], r[2][1] - r[1][2], r[0][2] - r[2][0], r[1][0] - r[0][1]), _v(r[2][1] - r[1][2], 1 + r[0][0] - r[1][1] - r[2][2], r[0][1] + r[1][0], r[0][2] + r[2][0]),
+            _v(r[0][2] - r[2][0], r[0][1] + r[1][0], 1 - r[0][0] + r[1][1] - r[2][2], r[1][2] + r[2][1]), _v(r[1][0] - r[0][1], r[0][2] + r[2][0], r[1][2] + r[2][1], 1 - r[0][0] - r[1][1] + r[2][2]))
+        best = F.array_max(F.transform(rows, lambda row, i: F.struct(F.get(row, i).alias("size"), row.alias("row"))))
+        return let(best, lambda s: F.transform(s["row"], lambda v: F.when(s["row"][0] < 0, -v).otherwise(v) / (2 * F.sqrt(s["size"]))))
 
     return let(_c(m), found)
 

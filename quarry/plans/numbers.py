@@ -45,9 +45,10 @@ def _identity(spark, d):
 
 
 def _turns(spark, d):
+    """Angles to 15 digits first: what the sines leave beyond would turn a half at the last digit."""
     rows = _x(spark, d).select("vec_id", "x", _rpy().alias("m"))
     q = rows.select("vec_id", "x", "m", P.matrix_to_euler("m").alias("e"), P.quaternion_to_matrix(P.matrix_to_quaternion("m")).alias("n"), P.euler_to_matrix(F.slice("x", 1, 3)).alias("o"))
-    return rounded(q.select("vec_id", *(F.col("e")[k].alias(f"a{k}") for k in range(3)), *((F.abs(_grid(c) - _grid("m")) < 1e-9).alias(k) for k, c in (("quaternion", "n"), ("euler", "o")))), 6)
+    return rounded(q.select("vec_id", *(F.round(F.col("e")[k], 15).alias(f"a{k}") for k in range(3)), *((F.abs(_grid(c) - _grid("m")) < 1e-9).alias(k) for k, c in (("quaternion", "n"), ("euler", "o")))), 6)
 
 
 def _reached(spark, d):
