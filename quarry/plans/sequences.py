@@ -34,7 +34,7 @@ QUERIES = {
     "ar1": q(lambda x: timeseries.ar1(x, *K), digits=6),
     "align_channels": q(lambda x: timeseries.aligned(x.select("event_type", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 1e6).alias("t"), "value"), "event_type", "t", "value", 1 / 3600.0, 5400.0).groupBy("event_type").agg(F.count("*").alias("n"), F.count("value").alias("have"), F.avg("value").alias("mean")), lambda s, d: table(s, d, "events"), 4),
     "tokens": q(lambda x: x.select("doc_id", F.size(text.tokens(F.col("text"))).alias("n"), F.size(text.sentences(F.col("text"))).alias("sentences"), F.length(text.normalized(F.col("text"))).alias("chars")), _docs),
-    "bigram_counts": q(lambda x: text.terms(x, "doc_id", "text", 2, 2).groupBy("term").agg(F.sum("tf").alias("n")), _docs),
+    "bigram_counts": q(lambda x: text.term_counts(x, "text", 2, 2), _docs),
     "vocabulary": q(lambda x: text.vocabulary(x, "text", min_freq=50), _docs),
     "tfidf": q(lambda x: text.tfidf(x, "doc_id", "text"), _docs),
     "ngram_lm_counts": q(lambda x: text.language_model(x, "text", 2, 1.0), lambda s, d: table(s, d, "conversations")),
