@@ -84,18 +84,27 @@ def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bootstrap_means(df: DataFrame, id_col: str, value: str, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """replicate, mean: each row counts as often as a Poisson draw of mean 1 by a hash of its id, the replicate and the seed. One pass, no resampled copies."""
-    u = lambda r: (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(r)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    steps, total = [], 0.0
+    """replicate, mean: each row counts as often as a Poisson draw of mean 1 by a hash of its id, the replicate and the seed.
+
+    Rows meet the replicates one by one and are summed before the shuffle: one short
+    expression, which a column a replicate and step would make too long to compile.
+    """
     from math import exp, factorial
 
+    steps, total = [], 0.0
     for k in range(12):
         total += exp(-1) / factorial(k)
         steps.append(total)
-    draw = lambda r: sum((F.when(u(r) > s, 1.0).otherwise(0.0) for s in steps), F.lit(0.0))
-    rows = df.select(id_col, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    sums = rows.select("_v", *(draw(r).alias(f"w{r}") for r in range(replicates))).agg(*(x for r in range(replicates) for x in (F.sum(F.col(f"w{r}") * F.col("_v")).alias(f"s{r}"), F.sum(f"w{r}").alias(f"n{r}"))))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(r).alias("replicate"), F.try_divide(F.col(f"s{r}"), F.col(f"n{r}")).alias("mean")) for r in range(replicates)))).alias("x")).select("x.*")
+    draw = F.when(F.col("_u") <= steps[0], 0.0)
+    for k, s in enumerate(steps[1:], 1):
+        draw = draw.when(F.col("_u") <= s, float(k))
+    draw = draw.otherwise(float(len(steps)))
+    rows = df.select(F.col(id_col).alias("_id"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    drawn = rows.withColumn("replicate", F.explode(F.array(*map(F.lit, range(replicates)))))
+    drawn = drawn.select("replicate", "_v", ((F.pmod(F.xxhash64("_id", F.lit(seed), "replicate"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("_u")).select("replicate", "_v", draw.alias("_w"))
+    sums = drawn.groupBy("replicate").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("mean"))
+    every = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
+    return every.join(F.broadcast(sums), "replicate", "left")
 
 
 def cubed(df: DataFrame, keys: Sequence[str], value: str, rollup: bool = False) -> DataFrame:
