@@ -124,10 +124,19 @@ def yeo_johnson(x: Column, k: float) -> Column:
 
 
 def power_exponent(df: DataFrame, name: str, steps: int = 101) -> DataFrame:
-    """exponent, score: of a grid on -2..2 that with the highest normal likelihood, in one aggregate."""
+    """exponent, score: of a grid on -2..2 that with the highest normal likelihood.
+
+    Powers are taken once a distinct value; variances are sums around the power of the mean, weighted by the counts.
+    """
     grid = [-2 + 4 * k / (steps - 1) for k in range(steps)]
     x = present(df, name)
-    sums = df.agg(F.count(x).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j"), *(F.var_pop(yeo_johnson(x, k)).alias(f"v{i}") for i, k in enumerate(grid)))
+    values = df.select(x.alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count("*").cast("double").alias("w"))
+    mean = df.agg(F.avg(x).alias("m")).first()["m"]
+    x, w = F.col("x"), F.col("w")
+    centre = F.lit(mean).cast("double")
+    moved = values.select("x", "w", *((yeo_johnson(x, k) - yeo_johnson(centre, k)).alias(f"y{i}") for i, k in enumerate(grid)))
+    sums = moved.agg(F.sum("w").alias("n"), F.sum(w * F.signum(x) * F.log1p(F.abs(x))).alias("j"), *(y for i in range(len(grid)) for y in (F.sum(w * F.col(f"y{i}")).alias(f"s{i}"), F.sum(w * F.col(f"y{i}") * F.col(f"y{i}")).alias(f"q{i}"))))
+    sums = sums.select("n", "j", *((F.col(f"q{i}") / F.col("n") - F.pow(F.col(f"s{i}") / F.col("n"), 2)).alias(f"v{i}") for i in range(len(grid))))
     scores = F.array(*(F.struct((F.lit(k - 1) * F.col("j") - F.col("n") / 2 * F.ln(F.col(f"v{i}"))).alias("score"), F.lit(k).alias("exponent")) for i, k in enumerate(grid)))
     return sums.select(F.array_max(F.filter(scores, lambda s: s["score"].isNotNull())).alias("s")).select("s.exponent", "s.score")
 
