@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+#: Fixed value: tables of up to so many rows are sent to every task, larger ones are shuffled.
+FEW = 100_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as files in the session's checkpoint folder, or a temporary one in local mode."""
@@ -15,3 +22,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return df.checkpoint()
+
+
+@contextmanager
+def kept(df: DataFrame, key: str | None = None) -> Iterator[DataFrame]:
+    """df, made once and held on the executors' disks while the block runs.
+
+    With a key it's dealt and sorted by it, so that joins and sums by the key leave it where it is.
+    """
+    if key is not None:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield held
+    finally:
+        held.unpersist()

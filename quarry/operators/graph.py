@@ -11,7 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.state import checkpointed
+from quarry.functions.state import FEW, checkpointed, kept
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge and its reverse, from one reading of edges."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.explode(ways).alias("e"), *rest).select("e.src", "e.dst", *rest)
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,34 +45,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def bfs(edges: DataFrame, starts: Sequence, max_depth: int | None = None) -> DataFrame:
-    """node, distance in edges from the nearest start; unreached nodes have no row."""
+def bfs(edges: DataFrame, starts: Sequence | None, max_depth: int | None = None) -> DataFrame:
+    """node, distance in edges from the nearest start (None: the least src); unreached nodes have no row."""
     spark, kind = edges.sparkSession, edges.schema["src"].dataType
-    seen = checkpointed(spark.createDataFrame([(s,) for s in starts], "node string" if kind.simpleString() == "string" else f"node {kind.simpleString()}").distinct().withColumn("distance", F.lit(0)))
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(depth))
-        frontier = checkpointed(found)
-        if not frontier.limit(1).count():
-            break
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+    with kept(edges.select("src", "dst"), "src") as edges:
+        if starts is None:
+            starts = [edges.agg(F.min("src")).first()[0]]
+        seen = checkpointed(spark.createDataFrame([(s,) for s in starts], "node string" if kind.simpleString() == "string" else f"node {kind.simpleString()}").distinct().withColumn("distance", F.lit(0)))
+        frontier, rows, depth = seen, len(starts), 0
+        while max_depth is None or depth < max_depth:
+            depth += 1
+            found = edges.join(_sent(frontier, rows), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(depth))
+            frontier = checkpointed(found)
+            rows = frontier.count()
+            if not rows:
+                break
+            seen = checkpointed(seen.unionByName(frontier))
+        return seen
+
 
+def shortest_paths(edges: DataFrame, start=None) -> DataFrame:
+    """node, distance by weight from start (None: the least src): rounds of relaxed edges, of the nodes that got nearer only.
 
-def shortest_paths(edges: DataFrame, start) -> DataFrame:
-    """node, distance by weight from start: rounds of relaxed edges, of the nodes that got nearer only."""
-    if edges.filter("weight < 0").limit(1).count():
-        raise ValueError("weights must not be negative")
+    The edges are made once and stay where they are; a round moves the nearer nodes and an
+    offer a node and task. An edge without a weight leads nowhere.
+    """
     spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
-    known = checkpointed(spark.createDataFrame([(start, 0.0)], f"node {kind}, distance double"))
-    frontier = known
-    while True:
-        offers = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
-        frontier = checkpointed(offers.join(known, "node", "left").filter(F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).select("node", F.col("offer").alias("distance")))
-        if not frontier.limit(1).count():
-            return known
-        known = checkpointed(known.join(frontier, "node", "left_anti").unionByName(frontier))
+    with kept(edges.select("src", "dst", "weight"), "src") as edges:
+        if edges.filter("weight < 0").limit(1).count():
+            raise ValueError("weights must not be negative")
+        if start is None:
+            start = edges.agg(F.min("src")).first()[0]
+        known = checkpointed(spark.createDataFrame([(start, 0.0, True)], f"node {kind}, distance double, nearer boolean"))
+        rows = 1
+        while rows:
+            frontier = known.filter("nearer").select(F.col("node").alias("src"), "distance")
+            offers = edges.join(_sent(frontier, rows), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("offer")).filter("node IS NOT NULL AND offer IS NOT NULL")
+            known = checkpointed(known.select("node", "distance").join(offers, "node", "full").select("node", F.least("distance", "offer").alias("distance"), F.coalesce(F.col("distance").isNull() | (F.col("offer") < F.col("distance")), F.lit(False)).alias("nearer")))
+            rows = known.filter("nearer").count()
+        return known.select("node", "distance")
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
