@@ -7,6 +7,7 @@ spark.checkpoint.dir, where it is set) and end when nothing changes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +26,40 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW else df
 
 
+def _roots(up: DataFrame) -> tuple[DataFrame, int]:
+    """up (node, parent) with each parent's last ancestor as parent, and its rows; parents are less than their nodes."""
+    rows = up.count()
+    while True:
+        above = up.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        new = checkpointed(up.join(_sent(above, rows), "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")))
+        up = new.select("node", "parent")
+        if not new.filter("moved").limit(1).count():
+            return up, rows
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component: the least node that undirected edges connect it to.
 
-    Each round a node takes the least label around it, then that label's own label, so
-    that distances halve.
+    Each round joins every node to its least neighbour, if that is less than itself, follows
+    such joins to their ends and goes on with the edges between different ends only, so
+    that of the nodes with an edge at most half are left after two rounds.
     """
-    both = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels = checkpointed(nodes.withColumn("component", F.col("node")))
-    while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("c"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", "c").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = checkpointed(step.join(jump, "component").select("node", F.least("component", "up").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    # least and greatest pass over nulls: an edge with one end is a loop there
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a IS NOT NULL")
+    labels = None
+    with ExitStack() as held:
+        pairs = held.enter_context(kept(pairs))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        while True:
+            up, rows = _roots(checkpointed(pairs.filter("a < b").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))))
+            if not rows:
+                return checkpointed(nodes.withColumn("component", F.col("node"))) if labels is None else labels
+            start, column = (nodes, "node") if labels is None else (labels, "component")
+            labels = checkpointed(start.join(_sent(up.select(F.col("node").alias("_n"), "parent"), rows), F.col(column) == F.col("_n"), "left").select("node", F.coalesce("parent", column).alias("component")))
+            ends = _sent(up, rows)
+            moved = pairs.filter("a < b").join(ends, F.col("b") == F.col("node")).select("a", F.col("parent").alias("c")).filter("a <> c").distinct()
+            moved = moved.join(ends, F.col("a") == F.col("node"), "left").select(F.coalesce("parent", "a").alias("a"), "c").filter("a <> c")
+            pairs = held.enter_context(kept(moved.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))))
 
 
 def bfs(edges: DataFrame, starts: Sequence | None, max_depth: int | None = None) -> DataFrame:

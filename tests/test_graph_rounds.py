@@ -35,6 +35,20 @@ def _distances(rows, start):
     return want
 
 
+def _components(rows):
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in rows:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    return {x: root(x) for x in top}
+
+
 def _random(n, m, seed):
     r = random.Random(seed)
     return [(r.randrange(n), r.randrange(n), float(r.randrange(9))) for _ in range(m)]
@@ -44,6 +58,21 @@ GRAPHS = {"random": _random(60, 90, 1), "path": [(k, k + 1, 1.0) for k in range(
           "shuffled": [(a * 37 % 101, b * 37 % 101, w) for a, b, w in _random(101, 110, 2)]}
 
 
+@pytest.mark.parametrize("few", [graph.FEW, 0])
+def test_components_equal_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    # one table: the graphs side by side, nodes apart by thousands
+    rows = [(1000 * k + a, 1000 * k + b) for k, g in enumerate(GRAPHS.values()) for a, b, _ in g]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == _components(rows)
+
+
+def test_components_of_edges_with_one_end_or_none(spark):
+    edges = spark.createDataFrame([(5, None), (None, 7), (None, None), (7, 9)], "src long, dst long")
+    assert {r.node: r.component for r in graph.connected_components(edges).collect()} == {5: 5, 7: 7, 9: 7}
+    assert graph.connected_components(edges.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("few", [graph.FEW, 0])
 def test_paths_equal_dijkstra(spark, monkeypatch, few):
     monkeypatch.setattr(graph, "FEW", few)
@@ -55,7 +84,7 @@ def test_paths_equal_dijkstra(spark, monkeypatch, few):
         graph.shortest_paths(spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, weight double"), 1)
 
 
-@pytest.mark.parametrize("run", [lambda e: graph.shortest_paths(e, 0), lambda e: graph.bfs(e, [0])])
+@pytest.mark.parametrize("run", [lambda e: graph.shortest_paths(e, 0), lambda e: graph.bfs(e, [0]), lambda e: graph.connected_components(e.select("src", "dst"))])
 def test_edges_are_made_once(spark, run):
     edges, seen = _counted(spark, [(k, k + 1, 1.0) for k in range(8)])
     assert run(edges).count() == 9
