@@ -22,26 +22,24 @@ _c = lambda x: F.col(x) if isinstance(x, str) else x
 
 def lifted(kernel: Callable, ddl: str, *columns: Column | str) -> Column:
     """kernel(arrays...) for each row; a kernel gives a number, an array, a tuple of arrays (a struct) or rows of arrays."""
-    def plain(x):
-        if x is None:
-            return None
-        if isinstance(x, tuple):
-            return {name.split(":")[0].strip(): plain(v) for name, v in zip(_fields(ddl), x)}
-        if isinstance(x, np.ndarray):
-            return [v.tolist() for v in x] if x.ndim == 2 else x.tolist()
-        return x
+    fields = [f.split(":")[0].strip() for f in _fields(ddl)] if ddl.startswith("struct") else None
+
+    def packed(x):
+        # results stay arrays of eight bytes a number until Arrow takes them
+        return list(x) if isinstance(x, np.ndarray) and x.ndim == 2 else x
 
     def run(*series):
         import pandas as pd
 
-        out = []
+        out = [[] for _ in fields or [ddl]]
         for values in zip(*series):
-            if any(v is None for v in values):
-                out.append(None)
-                continue
-            arrays = [np.array([np.asarray(r, float) for r in v]) if len(v) and isinstance(v[0], (np.ndarray, list)) else np.asarray(v, float) for v in values]
-            out.append(plain(kernel(*arrays)))
-        return pd.DataFrame([r or dict.fromkeys((f.split(":")[0] for f in _fields(ddl))) for r in out]) if ddl.startswith("struct") else pd.Series(out)
+            found = (None,) * len(out)
+            if all(v is not None for v in values):
+                arrays = [np.array([np.asarray(r, float) for r in v]) if len(v) and isinstance(v[0], (np.ndarray, list)) else np.asarray(v, float) for v in values]
+                found = kernel(*arrays) if fields else (kernel(*arrays),)
+            for column, x in zip(out, found):
+                column.append(packed(x))
+        return pd.DataFrame({f: column for f, column in zip(fields, out)}) if fields else pd.Series(out[0])
 
     import pandas as pd
 
