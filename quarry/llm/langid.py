@@ -166,7 +166,8 @@ def identify(documents: DataFrame, model: Model, *, text_col: str = "text", pred
         return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts]) if parts else []})
 
     rest, found = [c for c in documents.columns if c.lower() not in (pred_col.lower(), score_col.lower())], unused(documents, "_found")
-    return documents.select(*rest, scored(text_col).alias(found)).select(*rest, F.col(f"{found}.lang_pred").alias(pred_col), F.col(f"{found}.score").alias(score_col))
+    # else a filter on the result is pushed below it, and texts are scored a second time, by further workers
+    return documents.select(*rest, scored.asNondeterministic()(text_col).alias(found)).select(*rest, F.col(f"{found}.lang_pred").alias(pred_col), F.col(f"{found}.score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

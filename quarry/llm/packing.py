@@ -114,6 +114,9 @@ def cut_pieces(texts: DataFrame, encode_with, *, id_col: str = "doc_id", text_co
     return texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES_DDL)
 
 
+INTERVALS = pa.schema([(name, pa.int64()) for name in ("p_length", "rank_from", "rank_to", "first_bin", "per_bin", "p_offset")])
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Gives pieces their sequence_id and offset.
 
@@ -126,7 +129,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")).drop("n")
     # at most `capacity` rows reach the driver, and the plan has at most about capacity * ln(capacity)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    intervals = spark.createDataFrame(plan(histogram, capacity), "p_length long, rank_from long, rank_to long, first_bin long, per_bin long, p_offset long")
+    # by Arrow: a list of rows would go through Python workers with a daemon of their own, which stay
+    intervals = spark.createDataFrame(pa.Table.from_pylist([dict(zip(INTERVALS.names, row)) for row in plan(histogram, capacity)], schema=INTERVALS))
     ranked = pieces.join(before, ["shard", "length"]).withColumn("rank", F.col("own_rank") + F.col("before"))
     within = F.col("rank") - F.col("rank_from")
     runs = intervals.groupBy("p_length").agg(F.sort_array(F.collect_list(F.struct("rank_from", "rank_to", "first_bin", "per_bin", "p_offset"))).alias("runs"))
