@@ -177,3 +177,44 @@ def test_op7_keeps_chunks_beyond_the_default(monkeypatch):
     # only the first chunk and a run of those that began a text are encoded, and the store stays bounded
     assert sum(calls) == 2
     assert sys.getsizeof(chunks.later) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in chunks.later.items()) < 100e6
+
+
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "<u4"), ("word_bpe_49k.json", "<u2")])
+def test_runs_of_words_have_no_marks(name, kind):
+    P, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers").Tokenizer
+    from quarry.llm import tokens
+
+    chunks, given = tokens.ChunkIds(P.path(name), kind), []
+    encode = chunks.encode
+    chunks.encode = lambda texts, **more: given.extend(texts) or encode(texts, **more)
+    text = " ".join(f"x{'abcdefghij'[k % 10] * (k // 10 + 1)} Été{'abcdefghij'[k % 10] * (k // 10 + 1)} x{'klmnopqrst'[k % 10] * (k // 10 + 1)}," for k in range(200))
+    assert chunks([text]) == [np.array(library.from_file(P.path(name)).encode(text, add_special_tokens=False).ids, kind).tobytes()]
+    # 600 words: runs of 128, and what begins the text
+    assert len(given) <= 8 and not any(tokens.MARK in t for t in given)
+
+
+def test_ascii_in_both_cases_is_stored_once():
+    P, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers").Tokenizer
+    from quarry.llm import tokens
+
+    path = P.path("word_bpe_49k.json")
+    chunks, whole = tokens.ChunkIds(path, "<u2"), library.from_file(path)
+    points = [chr(k) for k in range(128)]
+    texts = ["a Word word WORD, wOrd, DON'T don't <|ENDOFTEXT|> <|EndOfText|>x", *(f"a A{c}B a{c}b {c}B {c}b B{c} b{c} {c}" for c in points), *(f"a X{c}{d} x{c}{d}Y {c}X{d}" for c in points for d in points)]
+    for _ in range(2):
+        for text, got, e in zip(texts, chunks(texts), whole.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(got, "<u2").tolist() == e.ids, text
+    assert {"word", "word,", "don't"} <= set(chunks.later) and not any(w.isascii() and w != w.lower() for w in chunks.later)
+
+
+def test_runs_with_other_counts_of_pieces_are_encoded_one_by_one():
+    P, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers").Tokenizer
+    from quarry.llm import tokens
+
+    for name, kind in (("byte_bpe_50k.json", "<u4"), ("word_bpe_49k.json", "<u2")):
+        chunks, whole = tokens.ChunkIds(P.path(name), kind), library.from_file(P.path(name))
+        # letters that lower case takes apart, digits, marks and characters of other planes beside plain words
+        words = [w for k in range(300) for w in (f"W{'ab'[k % 2] * (k % 60)}", f"İ{'ab'[k % 2] * (k % 60)}", f"ŉé{k}", f"Σ{'σ' * (k % 9)}Σ", "áb'", f"{chr(0x10400 + k)}x", "'s", "x'")]
+        want = [np.array(e.ids, kind).tobytes() for e in whole.encode_batch([f" {w}" for w in words], add_special_tokens=False)]
+        assert chunks._encoded(words) == want
+        assert chunks([" ".join(words)]) == [np.array(whole.encode(" ".join(words), add_special_tokens=False).ids, kind).tobytes()]
