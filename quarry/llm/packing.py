@@ -28,6 +28,8 @@ from quarry.llm.common import shared_dir, table
 
 CAPACITY = 2048
 END_ID = 0
+#: Chunks whose ids a worker keeps where packing is all that runs, about 80 MB.
+KEPT_CHUNKS = 400_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -144,9 +146,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def packed_documents(texts: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(texts: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, kept: int | None = None) -> DataFrame:
     """Tokenize, cut and pack a table of doc_id and text; tokenizer: the file's path,
-    the same on every machine. Further columns are ignored, repeated rows are packed
+    the same on every machine; kept: chunks whose ids a worker keeps. Further columns are ignored, repeated rows are packed
     each, and an empty table gives an empty one."""
     spark = texts.sparkSession
     if tokenizer is None:
@@ -157,7 +159,7 @@ def packed_documents(texts: DataFrame, tokenizer: str | None = None, capacity: i
     def encoder():
         from quarry.llm.tokens import chunk_ids
 
-        return chunk_ids(tokenizer)
+        return chunk_ids(tokenizer, kept=kept)
 
     path = shared_dir(spark, "pieces")
     cut_pieces(texts, encoder, capacity=capacity).write.parquet(path)
@@ -165,4 +167,4 @@ def packed_documents(texts: DataFrame, tokenizer: str | None = None, capacity: i
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"))
+    return packed_documents(table(spark, sf_dir, "documents"), kept=KEPT_CHUNKS)

@@ -80,3 +80,21 @@ def test_long_linear_conversations(spark):
     assert got[7].n_turns == 70 and got[7].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
     assert (got[7].loss_chars, got[7].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[8].n_turns == 2 and got[9].loss_chars == 0
+
+
+def test_op9_alone_keeps_chunks_beyond_the_default(spark, monkeypatch):
+    from quarry.llm import tokens
+
+    made = []
+
+    def encoder_of(texts, encode_with, **_):
+        encode_with()
+        return texts.sparkSession.createDataFrame([], packing.PIECES_DDL)
+
+    monkeypatch.setattr(tokens, "chunk_ids", lambda path, kind="<u4", kept=None: made.append(kept))
+    monkeypatch.setattr(packing, "cut_pieces", encoder_of)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(packing, "table", lambda *_: docs)
+    assert packing.op9_packing(spark, "").count() == 0
+    assert packing.packed_documents(docs).count() == 0
+    assert made == [packing.KEPT_CHUNKS, None] and packing.KEPT_CHUNKS > tokens.KEPT
